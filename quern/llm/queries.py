@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash
+from . import decontam, html_text, mixing, quality, simhash, token_store, toxicity, warc
 from ._common import load
 
 
@@ -15,9 +15,17 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": warc.query,
+    "op4_html_text": html_text.query,
+    "op5_token_store": token_store.query,
+    "op6_toxicity": toxicity.query,
     "op7_decontamination": decontam.query,
+    "op8_mixing": mixing.query,
+    "op9_quality": quality.query,
     "op10_simhash": simhash_query,
 }
 ORACLES = {
     "op7_decontamination": decontam.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+    "op9_quality": quality.ORACLE,
 }
