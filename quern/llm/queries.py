@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, mixing, quality, simhash, token_store, toxicity, warc
+from . import decontam, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, token_store, toxicity, warc
 from ._common import load
 
 
@@ -15,7 +15,9 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_warc": warc.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_html_text": html_text.query,
     "op5_token_store": token_store.query,
     "op6_toxicity": toxicity.query,
