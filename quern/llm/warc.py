@@ -226,7 +226,16 @@ def merge_index(captures: DataFrame, per_range: int = CAPTURES_PER_RANGE) -> Dat
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(records(load(spark, sf_dir, "pages")), path)
-    return merge_index(materialise(read_archives(spark, path), "captures"))
-
-
-ORACLE = None
+    index = merge_index(materialise(read_archives(spark, path), "captures"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured_at")
+
+
+#: SQL for the digests' base 32: five hex digits give four of its digits.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first,
+        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INT + 1, 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM d
+"""
