@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,46 +37,57 @@ PAIRS = 4_000_000
 LAST = (1 << 63) - 1
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def line_words(text: bytes | None) -> list[list[bytes]]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each line, A-Z lower-cased."""
     return [line.split() for line in (text or b"").lower().split(b"\n")]
 
 
 class Sets:
-    """The word sets of a batch's lines: flat word hashes by line, each line's in rarity order; sig 0 stands for a line without words."""
-
-    def __init__(self, texts: list[bytes | None], hashes: _Hashes, counts: np.ndarray | None):
-        lines, self.doc, self.number = [], [], []
-        for i, t in enumerate(texts):
-            own = line_words(t)
-            lines += own
-            self.doc += [i] * len(own)
-            self.number += range(len(own))
-        self.doc, self.number = np.array(self.doc, np.int64), np.array(self.number, np.int64)
-        flat = np.fromiter(map(hashes.__getitem__, (w for line in lines for w in line)), np.uint64)
-        line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-        rare = counts[flat & np.uint64(COUNTERS - 1)] if counts is not None else np.zeros(len(flat), np.int64)
-        order = np.lexsort((flat, rare, line))
-        flat, line = flat[order], line[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = (flat[1:] != flat[:-1]) | (line[1:] != line[:-1])
-        self.words, line = flat[new], line[new]
-        self.size = np.bincount(line, minlength=len(lines))
+    """The word sets of a batch's lines: flat word hashes by line, each line's in rarity order; sig 0 stands for a line without words.
+
+    Lines and words are cut by Arrow; only a batch's different words are seen by Python.
+    """
+
+    def __init__(self, texts: pa.Array, counts: np.ndarray | None):
+        lines = pc.split_pattern(texts, "\n")
+        per_text = pc.list_value_length(lines).to_numpy()
+        self.doc = np.repeat(np.arange(len(texts)), per_text)
+        self.number = np.arange(len(self.doc)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(lines.flatten()))
+        line = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+        coded = words.flatten().dictionary_encode()
+        kinds = coded.dictionary.cast(pa.large_binary())
+        at = np.frombuffer(kinds.buffers()[1], np.int64)[kinds.offset : kinds.offset + len(kinds) + 1].tolist()
+        data = kinds.buffers()[2].to_pybytes() if kinds.buffers()[2] else b""
+        hashes = np.array([xxhash.xxh64_intdigest(data[i:j]) for i, j in zip(at, at[1:], strict=False)], np.uint64)
+        some = np.diff(at)[coded.indices.to_numpy()] > 0 if len(kinds) else np.zeros(0, bool)  # blanks at the ends of a line are no words
+        code, line = coded.indices.to_numpy()[some], line[some]
+        rare = counts[hashes & np.uint64(COUNTERS - 1)] if counts is not None else np.zeros(len(hashes), np.int64)
+        order = np.lexsort((hashes, rare))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        both = np.sort(line * max(1, len(order)) + rank[code])
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
+        line = both // max(1, len(order))
+        self.words = hashes[order][both % max(1, len(order))] if len(both) else np.zeros(0, np.uint64)
+        self.size = np.bincount(line, minlength=len(self.doc))
         self.end = np.cumsum(self.size)
         mixed = (self.words ^ (self.words >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-        sig = total[self.end] - total[self.end - self.size] + self.size.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        self.mixed = mixed
+        sig = self._sums(mixed) + self.size.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
         self.sig = np.where(self.size > 0, sig | np.uint64(1), np.uint64(0)).view(np.int64)
 
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
+        return total[self.end] - total[self.end - self.size]
+
+    def sketches(self) -> np.ndarray:
+        """64 bits for each line: a word flips one of them, so that two lines' sketches differ in at most as many bits as their sets differ in words."""
+        bit = np.uint64(1) << (self.mixed >> np.uint64(58))
+        total = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bit)]) if len(bit) else np.zeros(1, np.uint64)
+        return total[self.end] ^ total[self.end - self.size]
+
 
 def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     """The least overlap of sets of n and m words at similarity t."""
@@ -83,9 +95,9 @@ def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
 
 
 def _count(batches):
-    total, hashes = np.zeros(COUNTERS, np.int64), _Hashes()
+    total = np.zeros(COUNTERS, np.int64)
     for b in batches:
-        sets = Sets(b.column(0).to_pylist(), hashes, None)
+        sets = Sets(b.column(0), None)
         total += np.bincount((sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
     chunks = [total[i : i + CHUNK].astype("<i8").tobytes() for i in range(0, COUNTERS, CHUNK)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
@@ -109,12 +121,11 @@ def _post(counts, n_buckets: int, t: float):
     """The prefixes of the batch's different sets, packed by bucket of the word; words counted once have no second line."""
 
     def run(batches):
-        hashes = _Hashes()
         for b in batches:
-            sets = Sets(b.column(0).to_pylist(), hashes, counts.value)
+            sets = Sets(b.column(0), counts.value)
             _, own = np.unique(sets.sig, return_index=True)
             own = own[sets.size[own] > 0]
-            n = sets.size[own]
+            n, sketch = sets.size[own], sets.sketches()[own]
             take = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
             row = np.repeat(np.arange(len(own)), take)
             place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
@@ -126,7 +137,7 @@ def _post(counts, n_buckets: int, t: float):
             row, place, word, bucket = row[order], place[order], word[order], bucket[order]
             cut = np.nonzero(np.diff(bucket))[0] + 1
             bounds = list(zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]]), strict=True)) if len(bucket) else []
-            body = [word[i:j].tobytes() + sets.sig[own][row[i:j]].tobytes() + n[row[i:j]].astype("<u4").tobytes() + place[i:j].astype("<u4").tobytes() for i, j in bounds]
+            body = [word[i:j].tobytes() + sets.sig[own][row[i:j]].tobytes() + sketch[row[i:j]].tobytes() + n[row[i:j]].astype("<u4").tobytes() + place[i:j].astype("<u4").tobytes() for i, j in bounds]
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in bounds], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
 
     return run
@@ -136,38 +147,41 @@ def _candidates(t: float):
     def run(table):
         parts = []
         for body in table.column("body").to_pylist():
-            m = len(body) // 24
-            parts.append((np.frombuffer(body, "<u8", m), np.frombuffer(body, "<i8", m, 8 * m), np.frombuffer(body, "<u4", m, 16 * m).astype(np.int64), np.frombuffer(body, "<u4", m, 20 * m).astype(np.int64)))
-        word, sig, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            m = len(body) // 32
+            word, sig, sketch = (np.frombuffer(body, t, m, at * m) for t, at in (("<u8", 0), ("<i8", 8), ("<u8", 16)))
+            parts.append((word, sig, sketch, *(np.frombuffer(body, "<u4", m, at * m).astype(np.int64) for at in (24, 28))))
+        word, sig, sketch, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((sig, word))
-        word, sig, n, place = word[order], sig[order], n[order], place[order]
+        word, sig, sketch, n, place = word[order], sig[order], sketch[order], n[order], place[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])
-        word, sig, n, place = word[new], sig[new], n[new], place[new]
-        hit = with_partner(word, n, place, t)
+        word, sig, sketch, n, place = word[new], sig[new], sketch[new], n[new], place[new]
+        hit = with_partner(word, sketch, n, place, t)
         return pa.table({"word": pa.array(word[hit].view(np.int64)), "sig": pa.array(sig[hit])})
 
     return run
 
 
-def with_partner(word: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
-    """Which rows, sorted by word, have a row of the same word that passes the length and positional filters with them."""
+def with_partner(word: np.ndarray, sketch: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
+    """Which rows, sorted by word, have a row of the same word that passes the length and positional filters with them, and whose sketch is near enough."""
     start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0] if len(word) else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [len(word)]]))
     hit = np.repeat(size > BLOCK, size)  # large groups go on whole: verification is the exact way for them
     small = (size > 1) & (size <= BLOCK)
     start, size = start[small], size[small]
-    at = 0
-    while at < len(start):
-        end = at + max(1, int(np.searchsorted(np.cumsum(size[at:] ** 2), PAIRS)))
+    bounds = np.searchsorted(np.cumsum(size**2), np.arange(0, int((size**2).sum()) + PAIRS, PAIRS)) if len(size) else []
+    for at, end in zip(bounds, [*bounds[1:], len(start)], strict=True) if len(size) else []:
         s, m = start[at:end], size[at:end]
         row, column = _squares(m)
         left, right = np.repeat(s, m * m) + row, np.repeat(s, m * m) + column
+        near = row < column
+        left, right = left[near], right[near]
         a, b = n[left], n[right]
-        ok = (left < right) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - place[left], b - place[right]) >= _needed(a, b, t))
+        need = _needed(a, b, t)
+        ok = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - place[left], b - place[right]) >= need)
+        ok &= np.bitwise_count(sketch[left] ^ sketch[right]) <= a + b - 2 * need
         hit[left[ok]] = True
         hit[right[ok]] = True
-        at = end
     return hit
 
 
@@ -182,11 +196,10 @@ def _contents(counts, wanted):
     """(sig, id, line, words) of the batch's different sets that may have candidates; the words' bytes are in rarity order."""
 
     def run(batches):
-        hashes = _Hashes()
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
         for b in batches:
             ids = b.column(1).to_numpy()
-            sets = Sets(b.column(0).to_pylist(), hashes, counts.value)
+            sets = Sets(b.column(0), counts.value)
             order = np.lexsort((sets.number, ids[sets.doc], sets.sig))
             sig = sets.sig[order]
             own = order[np.concatenate([[True], sig[1:] != sig[:-1]])] if len(order) else order
@@ -277,9 +290,8 @@ def sig_filter(sigs: DataFrame) -> bytes:
 
 
 def _lines(batches):
-    hashes = _Hashes()
     for b in batches:
-        sets = Sets(b.column(0).to_pylist(), hashes, None)
+        sets = Sets(b.column(0), None)
         yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(sets.doc)), pa.array(sets.number), pa.array(sets.sig)], names=["id", "line", "sig"])
 
 
@@ -296,7 +308,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"))
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"))
     counts = spark.sparkContext.broadcast(word_counts(texts))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = max(1, -(-total // bytes_per_bucket))
@@ -337,3 +349,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_document(matched_lines(load(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+#: The same with sets as sorted lists; a place is doc_id and line number in one number.
+ORACLE = r"""
+WITH x AS (SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, doc_id * 1000000 + i AS pos, list_sort(list_distinct(regexp_extract_all(x[i], '[^\x20\x09-\x0D]+'))) AS w FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM x)),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first) AS sid, w, len(w) AS n, first FROM (SELECT w, min(pos) AS first FROM l WHERE len(w) > 0 GROUP BY w)),
+t AS (SELECT sid, n, unnest(w) AS tok FROM s), f AS (SELECT tok, count(*) AS f FROM t GROUP BY tok),
+r AS (SELECT sid, n, tok, row_number() OVER (PARTITION BY sid ORDER BY f, tok) AS k FROM t JOIN f USING (tok)),
+p AS (SELECT sid, n, tok FROM r WHERE k <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.sid AS a, b.sid AS b FROM p a JOIN p b ON a.tok = b.tok AND a.sid <> b.sid AND 5 * b.n >= 4 * a.n AND 5 * a.n >= 4 * b.n),
+o AS (SELECT c.a, y.first FROM c JOIN s x ON x.sid = c.a JOIN s y ON y.sid = c.b WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
+m AS (SELECT a AS sid, count(*) AS links, min(first) AS near FROM o GROUP BY a),
+b AS (SELECT w, coalesce(links, 0) AS links, least(first, coalesce(near, first)) AS best FROM s LEFT JOIN m USING (sid))
+SELECT doc_id, min(coalesce(best // 1000000, doc_id))::BIGINT AS class_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE best < pos)::BIGINT AS n_removed, sum(coalesce(links, 0))::BIGINT AS n_links
+FROM l LEFT JOIN b ON b.w = l.w GROUP BY doc_id
+"""

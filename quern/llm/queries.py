@@ -27,6 +27,8 @@ QUERIES = {
     "op10_simhash": simhash_query,
 }
 ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op9_quality": quality.ORACLE,
