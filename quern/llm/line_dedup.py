@@ -132,12 +132,14 @@ def _post(counts, n_buckets: int, t: float):
             word = sets.words[(sets.end[own] - n)[row] + place]
             many = counts.value[word & np.uint64(COUNTERS - 1)] > 1
             row, place, word = row[many], place[many], word[many]
+            before = np.zeros(len(word), np.uint64)
+            before[1:] = np.where(row[1:] == row[:-1], word[:-1], np.uint64(0))
             bucket = ((word >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            row, place, word, bucket = row[order], place[order], word[order], bucket[order]
+            row, place, word, bucket, before = row[order], place[order], word[order], bucket[order], before[order]
             cut = np.nonzero(np.diff(bucket))[0] + 1
             bounds = list(zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]]), strict=True)) if len(bucket) else []
-            body = [word[i:j].tobytes() + sets.sig[own][row[i:j]].tobytes() + sketch[row[i:j]].tobytes() + n[row[i:j]].astype("<u4").tobytes() + place[i:j].astype("<u4").tobytes() for i, j in bounds]
+            body = [word[i:j].tobytes() + sets.sig[own][row[i:j]].tobytes() + sketch[row[i:j]].tobytes() + before[i:j].tobytes() + n[row[i:j]].astype("<u4").tobytes() + place[i:j].astype("<u4").tobytes() for i, j in bounds]
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in bounds], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
 
     return run
@@ -147,23 +149,26 @@ def _candidates(t: float):
     def run(table):
         parts = []
         for body in table.column("body").to_pylist():
-            m = len(body) // 32
-            word, sig, sketch = (np.frombuffer(body, t, m, at * m) for t, at in (("<u8", 0), ("<i8", 8), ("<u8", 16)))
-            parts.append((word, sig, sketch, *(np.frombuffer(body, "<u4", m, at * m).astype(np.int64) for at in (24, 28))))
-        word, sig, sketch, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((sig, word))
-        word, sig, sketch, n, place = word[order], sig[order], sketch[order], n[order], place[order]
+            m = len(body) // 40
+            longs = (np.frombuffer(body, t, m, 8 * k * m) for k, t in enumerate(("<u8", "<i8", "<u8", "<u8")))
+            parts.append((*longs, *(np.frombuffer(body, "<u4", m, at * m).astype(np.int64) for at in (32, 36))))
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((columns[1], columns[0]))
+        word, sig, sketch, before, n, place = (x[order] for x in columns)
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])
-        word, sig, sketch, n, place = word[new], sig[new], sketch[new], n[new], place[new]
-        hit = with_partner(word, sketch, n, place, t)
+        word, sig, sketch, before, n, place = (x[new] for x in (word, sig, sketch, before, n, place))
+        hit = with_partner(word, sketch, before, n, place, t)
         return pa.table({"word": pa.array(word[hit].view(np.int64)), "sig": pa.array(sig[hit])})
 
     return run
 
 
-def with_partner(word: np.ndarray, sketch: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
-    """Which rows, sorted by word, have a row of the same word that passes the length and positional filters with them, and whose sketch is near enough."""
+def with_partner(word: np.ndarray, sketch: np.ndarray, before: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
+    """Which rows, sorted by word, have a row of the same word that passes the length and positional filters with them, and whose sketch is near enough.
+
+    Rows that share the word before, too, meet in the group of an earlier word, so they don't count here.
+    """
     start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0] if len(word) else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [len(word)]]))
     hit = np.repeat(size > BLOCK, size)  # large groups go on whole: verification is the exact way for them
@@ -174,7 +179,7 @@ def with_partner(word: np.ndarray, sketch: np.ndarray, n: np.ndarray, place: np.
         s, m = start[at:end], size[at:end]
         row, column = _squares(m)
         left, right = np.repeat(s, m * m) + row, np.repeat(s, m * m) + column
-        near = row < column
+        near = (row < column) & ((before[left] != before[right]) | (before[left] == 0))
         left, right = left[near], right[near]
         a, b = n[left], n[right]
         need = _needed(a, b, t)
