@@ -4,11 +4,11 @@ Every string of ``length`` bytes has an anchor, the place of the smallest hash
 among its substrings of GRAM bytes; equal strings have the same anchor at the
 same offset.  Anchors, about one byte in sixteen, are compared first, in packed
 blocks, and those that no second document has end there.  Around each of the
-others lies a segment of the text that holds all strings with this anchor.
-Segments are dealt out by their anchor's hash, and a bucket of them is sorted
-as one text: a two-stage suffix sort orders the suffixes smaller than their
-successors directly and induces the rest by scans over the buckets of the first
-byte; neighbours with a common prefix of ``length`` bytes are equal strings.
+others lies a segment of the text, the strings whose anchor it is.  Segments
+are dealt out by their anchor's gram, and a bucket of them is sorted as one
+text: a two-stage suffix sort orders the suffixes smaller than their successors
+directly and induces the rest by scans over the buckets of the first byte;
+neighbours with a common prefix of ``length`` bytes are equal strings.
 
 Copies never meet in numbers: equal documents are one, and within a batch equal
 anchors and equal segments are merged before they are sent.
@@ -28,8 +28,9 @@ from ._common import broadcast_if, load, materialise, small_batches
 
 LENGTH, GRAM = 50, 20
 PIECE = 4 << 20
-BYTES_PER_BUCKET = 8 << 20
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+BYTES_PER_BUCKET = 4 << 20
+LEAST_BUCKETS = 256
+BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -75,6 +76,24 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return at, h[at]
 
 
+def own_strings(text: bytes, places: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
+    """(place, first, last): the starts of the strings whose anchor a place is; places that are no anchors are left out."""
+    out, width = [], length - gram + 1
+    for at in range(0, max(1, len(text) - length + 1), PIECE):
+        data = np.frombuffer(text[at : at + PIECE + length - 1], np.uint8)
+        if len(data) < length:
+            continue
+        h = gram_hashes(data, gram)
+        low = _slide(h, width, np.minimum)
+        p = places[(places >= at) & (places < at + len(h))] - at
+        start = p[:, None] - np.arange(width)
+        own = (start >= 0) & (start < len(low)) & (low[np.clip(start, 0, len(low) - 1)] == h[p][:, None])
+        last, first = p - own.argmax(1), p - (width - 1 - own[:, ::-1].argmax(1))
+        some = own.any(1)
+        out += zip((p[some] + at).tolist(), (first[some] + at).tolist(), (last[some] + at).tolist(), strict=True)
+    return out
+
+
 def _pieces(texts: list[bytes], length: int):
     """Lists of (text number, offset, bytes) of about PIECE bytes; longer texts are cut with an overlap that keeps every string whole."""
     held, size = [], 0
@@ -91,7 +110,7 @@ def _pieces(texts: list[bytes], length: int):
 
 
 def batch_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, hash) of the anchors of all texts, each once, by text and place."""
+    """(text number, place, hash) of the anchors of all texts, each once, by hash, text and place."""
     docs, places, hashes = [], [], []
     for group in _pieces(texts, length):
         data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
@@ -104,16 +123,14 @@ def batch_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     if not docs:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64)
     d, p, h = np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
-    if any(len(t) > PIECE for t in texts):
-        order = np.lexsort((p, d))
-        d, p, h = d[order], p[order], h[order]
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1])])[: len(d)]
-        d, p, h = d[new], p[new], h[new]
-    return d, p, h
+    order = np.lexsort((p, d, h))
+    d, p, h = d[order], p[order], h[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])])[: len(d)]
+    return d[new], p[new], h[new]
 
 
-ASKED = "bucket int, ids array<long>, keys array<long>, n int, body binary"
-FLAGGED = "id long, key long, places array<int>"
+ASKED = "bucket int, ids array<long>, n int, body binary"
+FLAGGED = "id long, places array<int>"
 SEGMENT = "bucket int, id long, key long, places array<int>, offset int, segment binary"
 RANGES = "id long, key long, ranges array<int>"
 
@@ -123,12 +140,10 @@ def _ask(n_buckets: int, length: int, gram: int):
 
     def run(batches):
         for b in batches:
-            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            d, p, h = batch_anchors(b.column(2).to_pylist(), length, gram)
+            ids = b.column(0).to_numpy()
+            d, p, h = batch_anchors(b.column(1).to_pylist(), length, gram)
             if not len(d):
                 continue
-            order = np.argsort(h, kind="stable")
-            d, p, h = d[order], p[order], h[order]
             first = np.concatenate([[True], h[1:] != h[:-1]])
             start = np.nonzero(first)[0]
             last = np.concatenate([start[1:], [len(h)]]) - 1
@@ -138,7 +153,7 @@ def _ask(n_buckets: int, length: int, gram: int):
             if shared.any():
                 sd, sp = d[shared], p[shared]
                 who, sd = np.unique(sd, return_inverse=True)
-                rows.append((int(h[0] % np.uint64(n_buckets)), ids[who], keys[who], -len(sd), sd.astype("<u2").tobytes() + sp.astype("<u4").tobytes()))
+                rows.append((int(h[0] % np.uint64(n_buckets)), ids[who], -len(sd), sd.astype("<u2").tobytes() + sp.astype("<u4").tobytes()))
             sent = ~shared | first
             d, p, h, shared, bucket = d[sent], p[sent], h[sent], shared[sent], bucket[sent]
             order = np.lexsort((p, d, bucket))
@@ -146,10 +161,10 @@ def _ask(n_buckets: int, length: int, gram: int):
             cut = np.nonzero(np.diff(bucket))[0] + 1
             for i, j in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(d)]]), strict=True):
                 who, local = np.unique(d[i:j], return_inverse=True)
-                body = (h[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((h[i:j] >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+                body = (h[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((h[i:j] >> np.uint64(32)) & np.uint64(0xFF)).astype("u1").tobytes()
                 body += p[i:j].astype("<u4").tobytes() + local.astype("<u2").tobytes() + shared[i:j].astype("u1").tobytes()
-                rows.append((int(bucket[i]), ids[who], keys[who], int(j - i), body))
-            yield _batch(rows, ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("n", pa.int32()), ("body", pa.binary()))
+                rows.append((int(bucket[i]), ids[who], int(j - i), body))
+            yield _batch(rows, ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("n", pa.int32()), ("body", pa.binary()))
 
     return run
 
@@ -171,42 +186,36 @@ def _by_row(ids: np.ndarray, keys: np.ndarray, values: list[np.ndarray], names:
 def _answer(table):
     """The places of a bucket's anchors that more than one document has."""
     out, asked = [], []
-    for ids, keys, n, body in zip(*(table.column(c).to_pylist() for c in ("ids", "keys", "n", "body")), strict=True):
-        ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
+    for ids, n, body in zip(*(table.column(c).to_pylist() for c in ("ids", "n", "body")), strict=True):
+        ids = np.array(ids, np.int64)
         if n < 0:
-            d = np.frombuffer(body, "<u2", -n)
-            out.append((ids[d], keys[d], np.frombuffer(body, "<u4", -n, -2 * n)))
+            out.append((ids[np.frombuffer(body, "<u2", -n)], np.frombuffer(body, "<u4", -n, -2 * n)))
             continue
-        h = np.frombuffer(body, "<u4", n).astype(np.uint64) | np.frombuffer(body, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
-        d = np.frombuffer(body, "<u2", n, 10 * n)
-        asked.append((h, ids[d], keys[d], np.frombuffer(body, "<u4", n, 6 * n), np.frombuffer(body, "u1", n, 12 * n)))
+        h = np.frombuffer(body, "<u4", n).astype(np.uint64) | np.frombuffer(body, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32)
+        asked.append((h, ids[np.frombuffer(body, "<u2", n, 9 * n)], np.frombuffer(body, "<u4", n, 5 * n), np.frombuffer(body, "u1", n, 11 * n)))
     if asked:
-        h, ids, keys, p, known = (np.concatenate(x) for x in zip(*asked, strict=True))
+        h, ids, p, known = (np.concatenate(x) for x in zip(*asked, strict=True))
         order = np.argsort(h, kind="stable")
-        h, ids, keys, p, known = h[order], ids[order], keys[order], p[order], known[order]
+        h, ids, p, known = h[order], ids[order], p[order], known[order]
         start = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
         many = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) | (np.maximum.reduceat(known, start) > 0)
         tell = np.repeat(many, np.diff(np.concatenate([start, [len(h)]]))) & (known == 0)
-        out.append((ids[tell], keys[tell], p[tell]))
-    ids, keys, p = (np.concatenate(x) for x in zip(*out, strict=True))
-    return _by_row(ids, keys, [p.astype(np.int64)], ["id", "key", "places"])
+        out.append((ids[tell], p[tell]))
+    ids, p = (np.concatenate(x) for x in zip(*out, strict=True))
+    return _by_row(ids, np.zeros(len(ids), np.int64), [p.astype(np.int64)], ["id", "key", "places"]).drop_columns(["key"])
 
 
 def _segments(n_buckets: int, length: int, gram: int):
     """Segments around flagged anchors, one of each kind in a batch; a later document's copy of a segment is answered at once (offset -1)."""
-    reach = length - gram
 
     def run(batches):
         for b in batches:
             kinds: dict[tuple[bytes, int], list[tuple[int, int, int]]] = {}
             for i, key, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for p in sorted({x for ps in places for x in ps}):
-                    at = max(0, p - reach)
-                    kinds.setdefault((text[at : p + length], p - at), []).append((i, key, p))
+                for p, first, last in own_strings(text, np.unique([x for ps in places for x in ps]), length, gram):
+                    kinds.setdefault((text[first : last + length], p - first), []).append((i, key, p))
             rows, gone = [], {}
             for (segment, offset), found in kinds.items():
-                if len(segment) < length:
-                    continue
                 least = min(f[0] for f in found)
                 bucket = xxhash.xxh64_intdigest(segment[offset : offset + gram]) % n_buckets
                 stay: dict[tuple[int, int], list[int]] = {}
@@ -346,9 +355,10 @@ def repeated_part(segments: list[bytes], owner: np.ndarray, length: int) -> tupl
 def _result(batches):
     for b in batches:
         rows = []
-        for i, text, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for i, key, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            ranges = [f["ranges"] for f in found or [] if f["key"] == key]
             merged: list[list[int]] = []
-            for a, z in sorted({(r[j], r[j + 1]) for r in ranges or [] for j in range(0, len(r), 2)}):
+            for a, z in sorted({(r[j], r[j + 1]) for r in ranges for j in range(0, len(r), 2)}):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(z, merged[-1][1])
                 else:
@@ -364,8 +374,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed are the bytes of strings of length bytes that also start in a row
     with a smaller id; all is judged on the input.  kept may cut a character
-    in two, hence is binary.  Null texts are empty; null ids count as larger
-    than all others, and as equal to each other; rows that repeat an id don't
+    in two, hence is binary.  Null texts are empty; null ids count as 2**63 - 1,
+    the largest; rows that repeat an id don't
     remove each other's bytes; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -378,16 +388,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = materialise(heads.join(first, "sha").where("id > first").select("id", "sha").distinct(), "later")
     later = broadcast_if(later, later.count(), BROADCAST_ROWS)
     total = heads.agg(F.sum("n")).first()[0] or 0
-    n_buckets = max(1, -(-total // bytes_per_bucket))
-    single = rows.join(later, ["id", "sha"], "left_anti")
-    asked = single.select("id", "key", "text").mapInArrow(_ask(n_buckets, length, gram), ASKED)
-    flagged = asked.groupBy("bucket").applyInArrow(_answer, FLAGGED).groupBy("id", "key").agg(F.collect_list("places").alias("places"))
-    segments = single.select("id", "key", "text").join(flagged, ["id", "key"]).select("id", "key", "text", "places").mapInArrow(_segments(n_buckets, length, gram), SEGMENT)
+    n_buckets = max(LEAST_BUCKETS, -(-total // bytes_per_bucket))
+    single = rows.join(later, ["id", "sha"], "left_anti").select("id", "key", "text")
+    asked = single.select("id", "text").mapInArrow(_ask(n_buckets, length, gram), ASKED)
+    flagged = asked.groupBy("bucket").applyInArrow(_answer, FLAGGED).groupBy("id").agg(F.collect_list("places").alias("places"))
+    segments = single.join(flagged, "id").select("id", "key", "text", "places").mapInArrow(_segments(n_buckets, length, gram), SEGMENT)
     ranges = segments.groupBy("bucket").applyInArrow(_bucket_ranges(length), RANGES)
-    ranges = materialise(ranges.groupBy("id", "key").agg(F.collect_list("ranges").alias("ranges")), "ranges")
-    size = ranges.agg(F.count("*"), F.sum(F.expr("aggregate(ranges, 0L, (a, r) -> a + 4 * size(r))"))).first()
-    small = F.broadcast(ranges) if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES else ranges
-    cut = single.join(small, ["id", "key"], "left").select("own", "text", "ranges")
+    ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("key", "ranges")).alias("found"))
+    # Both joins deal out the same texts by the same key in one plan, so the texts are shuffled once.
+    cut = single.join(ranges, "id", "left").select(F.when(F.col("id") != LAST, F.col("id")).alias("own"), "key", "text", "found")
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     whole = F.col("n") >= length
     copies = rows.join(later, ["id", "sha"], "left_semi").select(

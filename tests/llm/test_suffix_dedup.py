@@ -28,6 +28,7 @@ def test_matches_brute_force(spark, monkeypatch):
     df = frame(spark)
     for piece, bucket in ((1 << 20, 3000), (700, 1 << 20)):
         monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        monkeypatch.setattr(suffix_dedup, "LEAST_BUCKETS", 3)
         got = suffix_dedup.remove_repeats(df, bytes_per_bucket=bucket).drop("kept").collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(rows_of(df), 50)
 
