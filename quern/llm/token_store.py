@@ -8,18 +8,19 @@ some documents or only the metadata skips the rest.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if, load, shared_path, small_batches
+from ._common import load, shared_path, small_batches
 
 END_ID = 2
 STORE = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
@@ -35,7 +36,7 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
-CACHED = 400_000
+CACHED = 200_000
 
 
 def default_tokenizer() -> str:
@@ -49,11 +50,13 @@ class Encoder:
 
     A byte-level pre-tokenizer never joins what stands before a space to the
     space unless white space stands there, so a text without white space before
-    a space is cut at its spaces, and each different piece is encoded once.
-    Other texts, and other kinds of tokenizers, are encoded whole.
+    a space is cut at its spaces.  A batch's pieces that aren't known are
+    encoded as one text, whose ids are cut where a token starts with a space;
+    other texts, and other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, spec: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -61,30 +64,62 @@ class Encoder:
         made = json.loads(spec)
         pre = made.get("pre_tokenizer") or {}
         self.by_piece = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        #: Pieces used lately, and those used before: a piece that isn't used while CACHED others are is forgotten.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_piece or _SPACED.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        try:
-            tail = b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            new = list({p for p in rest if p not in self.known})
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-                new = list(set(rest))
-            self.known.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-            tail = b"".join(map(self.known.__getitem__, rest))
-        return (self._encode([first])[0] if first else b"") + tail
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """pieces, none of them empty, each with the space before it."""
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            start = np.nonzero(self.spaced[ids])[0]
+            if len(start) != len(part):
+                self.known.update(zip(part, self._encode([" " + p for p in part]), strict=True))
+                continue
+            data, bounds = ids.tobytes(), [*(start * 4).tolist(), len(ids) * 4]
+            self.known.update(zip(part, (data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        cut = [None if not t or not self.by_piece or _spaced(t) else t.split(" ") for t in texts]
+        used: set[str] = set()
+        for pieces in cut:
+            if pieces:
+                used.update(pieces[1:])
+        if len(self.known) > CACHED:
+            self.old, self.known = self.known, {}
+        new = used.difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((p, self.old[p]) for p in again)
+        self._learn([p for p in new.difference(again) if p])
+        if "" in new:
+            self.known[""] = self._encode([" "])[0]
+        heads = iter(self._encode([p[0] for p in cut if p]))
+        wholes = iter(self._encode([t for t, p in zip(texts, cut, strict=True) if t and not p]))
+        known = self.known.__getitem__
+        return [next(heads) + b"".join(map(known, p[1:])) if p else next(wholes) if t else b"" for t, p in zip(texts, cut, strict=True)]
+
+
+_PAIRS = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+_SPACED = re.compile(r"\s ")
 
 
-_SPACED = re.compile(r"\s ")
+def _spaced(text: str) -> bool:
+    """Whether white space stands before a space."""
+    return any(p in text for p in _PAIRS) or not text.isascii() and bool(_SPACED.search(text))
+
+
+def _ranges(docs: DataFrame, n: int) -> list[int]:
+    """Bounds of n ranges of doc_id with about as many rows each; only the ids are read."""
+    at = [k / n for k in range(1, n)]
+    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), 10 * n)).first()[0] if at else []
+    return sorted(set(found or []))
 
 
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -100,20 +135,29 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, place, shard = Encoder(spec.value), 0, TaskContext.get().partitionId()
+        gc.disable()  # nothing here makes cycles, and every batch makes many objects
+        encode, place, last = Encoder(spec.value), 0, None
         for b in batches:
-            coded = [encode(t) + end for t in b.column(1).to_pylist()]
+            coded = [c + end for c in encode(b.column(1).to_pylist())]
             n = np.array([len(c) // 4 for c in coded], np.int64)
-            ends = np.cumsum(n)
+            shard, ends = b.column(2).to_numpy(), np.cumsum(n)
+            place = place if len(shard) and shard[0] == last else 0
+            first = np.nonzero(np.diff(shard))[0] + 1
+            begin = np.repeat(np.concatenate([[-place], ends[first - 1]]), np.diff(np.concatenate([[0], first, [len(n)]])))
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(place + ends - n), pa.array(n), ids],
+                [b.column(0), b.column(2), pa.array(ends - n - begin), pa.array(n), ids],
                 names=["doc_id", "shard", "place", "n_tokens", "ids"],
             )
-            place += int(ends[-1]) if len(ends) else 0
+            if len(n):
+                place, last = int(ends[-1] - begin[-1]), shard[-1]
 
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = two.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _ranges(two, n)
+    before = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id"))) if bounds else F.lit(0)
+    two = two.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(before))
+    placed = two.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
     placed.mapInArrow(run, STORE).write.options(**LAYOUT).parquet(path)
 
 
@@ -122,7 +166,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     store = spark.read.schema(STORE).parquet(path)
     ends = store.groupBy("shard").agg(F.max(F.col("place") + F.col("n_tokens")).alias("size"))
     starts = ends.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("offset"))
-    joined = store.join(broadcast_if(starts, starts.count(), 100_000), "shard")
+    joined = store.join(F.broadcast(starts), "shard")  # a row for each range, of which there are as many as shuffle partitions
     return joined.select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
