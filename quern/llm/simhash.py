@@ -16,13 +16,15 @@ ever listed: the work per fingerprint is bounded, however large a group is.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches
+from ._common import SPACE, materialise, small_batches
 from .components import connected_components
 
 SEGMENTS, WIDTH = 16, 4
@@ -103,90 +105,160 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 
 
-#: Wide fingerprints: 64-bit words of it, and the bits of the slices by which candidates meet.
-WIDE_WORDS, SLICE = 32, 24
-WIDE_BLOCK = 2048
-_TURN = (np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bits of the parity sketches.
+SKETCH = 1024
+#: Shingles in more than this share of a task's texts, and in so many at least, go last in the order of prefixes.
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 0.002, 8, 1 << 18
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> bytes:
-    """The 2048-bit fingerprint of one text: each shingle's XXH64 is turned into 32 words; texts without words have zeros."""
+def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted different 64-bit hashes of a text's word shingles; a shorter text is one shingle, a text without words has none."""
     words = text.lower().split()
     if not words:
-        return bytes(8 * WIDE_WORDS)
-    ones, n = np.zeros(64 * WIDE_WORDS, np.int64), max(1, len(words) - shingle + 1)
-    for at in range(0, n, WIDE_BLOCK):
-        part = words[at : min(at + WIDE_BLOCK, n) + shingle - 1]
-        grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-        h = np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], np.uint64)
-        x = h[:, None] * _TURN[None, :]
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x ^= x >> np.uint64(29)
-        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+        return np.zeros(0, np.int64)
+    seen: dict[bytes, int] = {}
+    w = np.array([seen[x] if x in seen else seen.setdefault(x, xxhash.xxh64_intdigest(x, seed)) for x in words], np.uint64)
+    k = min(shingle, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for i in range(k):
+        h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+    return np.unique(h.view(np.int64))
 
 
-def slice_keys(fp: bytes) -> list[int]:
-    """The fingerprint's slices of SLICE bits, each with its number."""
-    b = np.frombuffer(fp, np.uint8)
-    b = b[: len(b) // 3 * 3].reshape(-1, 3).astype(np.int64)
-    return (b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16 | np.arange(len(b)) << SLICE).tolist()
+def ratio_of(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction, so that no pair at the bound is decided by rounding."""
+    f = Fraction(str(similarity))
+    return f.numerator, f.denominator
 
 
-def most_bits(similarity: float) -> int:
-    """Of the wide fingerprint, how many bits differ at a Jaccard similarity: the angle between the sets is that of their cosine."""
-    return int(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def prefix(hashes: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles in the order (common or not, hash), so many that any two sets of the similarity share one of theirs."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    last = np.isin(hashes, common, assume_unique=True) if len(common) else np.zeros(n, bool)
+    return np.concatenate([hashes[~last], hashes[last]])[: n - -(-num * n // den) + 1]
 
 
-def alike(a: list[bytes], b: list[bytes], bits: int) -> np.ndarray:
-    """Which pairs of fingerprints differ in at most so many bits; those whose words' bit counts are farther apart aren't compared."""
-    x, y = (np.frombuffer(b"".join(f), np.uint64).reshape(len(f), -1) for f in (a, b))
-    bound = np.abs(np.bitwise_count(x).astype(np.int64) - np.bitwise_count(y)).sum(1)
-    out = bound <= bits
-    out[out] = np.bitwise_count(x[out] ^ y[out]).sum(1, dtype=np.int64) <= bits
-    return out
+def parity(hashes: np.ndarray) -> bytes:
+    """SKETCH bits, each the parity of the hashes that fall on it: two sketches differ in no more bits than the sets in members."""
+    at = ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SKETCH
+    return np.packbits(np.bincount(at, minlength=SKETCH) & 1).tobytes()
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, cls, component_id) for every row: the smallest id among the rows reachable over pairs of the given similarity of shingles or more.
-
-    Sixty-four bits can't tell a similarity of 0.8 from 0.7, so the fingerprint
-    has 2048: at 0.8 its estimate has a standard error of 0.013.  Candidates
-    agree in a slice of 24 bits; in a slice's group every row meets the first
-    and the last only, so candidates never grow with a group's square.  A pair
-    passes if the Manhattan distance of the words' bit counts allows, and then
-    by the exact number of differing bits.  Rows of equal fingerprints are one.
-    """
-    small_batches(df.sparkSession)
-    bits = most_bits(similarity)
+def _edges(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity: sizes and parity sketches rule out, the whole sets decide."""
 
-    def prints(batches):
+    def near(batches):
         for b in batches:
-            fp = [wide_fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=["id", "fp"])
+            n, m = (b.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = pa.array((apart * (den + num) <= (n + m) * (den - num)) & (np.minimum(n, m) * den >= np.maximum(n, m) * num))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    def keys(batches):
+    def exact(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([slice_keys(f) for f in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["cls", "keys"])
+            x, y = (b.column(i).to_pylist() for i in (2, 3))
+            ok = []
+            for p, q in zip(x, y, strict=True):
+                p, q = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both * den >= (len(p) + len(q) - both) * num)
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    side = lambda n, *c: sets.select(F.col("cls").alias(n), *[F.col(x).alias(f"{x}_{n}") for x in c])
+    left = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
+    return left.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
+
+
+def _class_of(text: str) -> Column:
+    """The class of equal texts: their hash, and one class for null, empty and blank ones."""
+    bare = F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(SPACE))
+    return F.when(bare == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(text).cast("string")))
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles that many texts hold, so many at most as a driver easily has.  They only order the prefixes; nothing is left out by them."""
+
+    def counted(batches):
+        total, held, n = [], 0, 0
+
+        def counts():
+            h, c = np.unique(np.concatenate(total), return_counts=True)
+            often = c >= max(COMMON_LEAST, COMMON_SHARE * n)
+            return pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(c[often])], names=["hash", "n"])
 
-    def verify(batches):
         for b in batches:
-            ok = pa.array(alike(b.column(2).to_pylist(), b.column(3).to_pylist(), bits)) if b.num_rows else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+            for t in dict.fromkeys(b.column(0).cast(pa.binary()).to_pylist()):
+                total.append(shingle_set(t or b"", shingle))
+                held, n = held + len(total[-1]), n + 1
+                if held > 1 << 22:
+                    yield counts()
+                    total, held, n = [], 0, 0
+        if total:
+            yield counts()
 
-    two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(two.mapInArrow(prints, "id long, fp binary").withColumn("cls", F.xxhash64("fp")), "wide")
-    classes = materialise(rows.groupBy("cls").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "classes")
-    members = classes.select("cls", "fp").mapInArrow(keys, "cls long, keys array<long>").select("cls", F.explode("keys").alias("key"))
-    ends = members.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi")
-    met = members.join(ends, "key").select("cls", F.explode(F.array("lo", "hi")).alias("end")).where("cls != end")
-    pairs = met.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()
-    side = lambda n: classes.select(F.col("cls").alias(n), F.col("fp").alias(f"fp_{n}"))
-    edges = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b").mapInArrow(verify, "a long, b long")
+    found = texts.select("text").mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.hash for r in found.orderBy(F.desc("n"), "hash").limit(COMMON_MOST).select("hash").collect()], np.int64))
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, cls, component_id, root) for every row: the smallest id among the rows reachable over pairs of the given similarity of shingles or more.
+
+    The similarity is the exact Jaccard index of the sets of 64-bit shingle
+    hashes.  Two sets that have it share a shingle of their prefixes, whatever
+    the order is, so every such pair meets: common shingles come last, the others
+    in the order of their hashes.  Where sets share a shingle of their prefixes,
+    all meet the first and the last one.  Rows of equal texts are one class; root names the component.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    num, den = ratio_of(similarity)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), _class_of(text_col).alias("cls"))
+    texts = df.select(_class_of(text_col).alias("cls"), F.col(text_col).cast("string").alias("text"))
+    common = spark.sparkContext.broadcast(_common(texts, shingle))
+
+    def keys(batches):
+        for b in batches:
+            classes, held, of, seen = b.column(0).to_pylist(), [], [], set()
+            for c, t in zip(classes, b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if c not in seen:
+                    seen.add(c)
+                    held.append(prefix(shingle_set(t or b"", shingle), common.value, num, den))
+                    of.append(np.full(len(held[-1]), c, np.int64))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(of))], names=["key", "cls"])
+
+    def sets_of(batches):
+        for b in batches:
+            found = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([parity(h) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())],
+                names=["cls", "n", "sketch", "hashes"],
+            )
+
+    emitted = texts.mapInArrow(keys, "key long, cls long")
+    shared = emitted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi")
+    members = materialise(emitted.join(shared, "key").select("key", "cls", "lo", "hi").distinct(), "members")
+    met = members.select("cls").distinct()
+    sets = materialise(texts.join(met, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")).mapInArrow(sets_of, "cls long, n long, sketch binary, hashes binary"), "sets")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("cls != end").select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()
+
+    edges = _edges(ordered(members.select("cls", F.explode(F.array("lo", "hi")).alias("end"))), sets, num, den)
     roots = connected_components(edges, "a", "b").select(F.col("node").alias("cls"), "root")
-    grouped = classes.select("cls", "first").join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+
+    classes = rows.groupBy("cls").agg(F.min("id").alias("first"))
+    grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("id", "cls").join(grouped.join(named, "root").select("cls", "component_id"), "cls").select("id", "cls", "component_id")
+    labels = materialise(grouped.join(named, "root").select("cls", "root", "component_id"), "labels")
+    return rows.join(labels, "cls").select("id", "cls", "component_id", "root")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -107,3 +107,30 @@ def test_near_copies_of_the_stage(spark):
     assert len(high) > 30 and sum(found[1000 + k] == k for k in high) >= 0.95 * len(high)
     assert all(found[k] == k for k in range(60))
     assert all(found[1000 + k] == 1000 + k for k, j in pairs if j < 0.75)
+
+
+def edited(words, n, rng):
+    """The words with n of them replaced, far from each other, so that each takes five shingles."""
+    out = list(words)
+    for at in rng.sample(range(5, len(words) - 5, 6), n):
+        out[at] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_every_pair_at_the_threshold_is_linked_and_none_below(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(364)]
+        near = edited(base, 8 if k % 2 else 9, rng)
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(near))]
+        want[k] = jaccard(base, near) >= 0.8
+    assert 100 < sum(want.values()) < 200
+    found = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).select("id", "component_id").collect()}
+    assert {k: found[1000 + k] == k for k in want} == want
