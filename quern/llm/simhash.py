@@ -214,7 +214,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashes.  Two sets that have it share a shingle of their prefixes, whatever
     the order is, so every such pair meets: common shingles come last, the others
     in the order of their hashes.  Where sets share a shingle of their prefixes,
-    all meet the first and the last one.  Rows of equal texts are one class; root names the component.
+    all meet the first and the last one, then all meet the one that has most
+    links; in what isn't yet connected after that all pairs of different
+    components meet.  Rows of equal texts are one class; root names the component.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -251,8 +253,26 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("cls != end").select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()
 
-    edges = _edges(ordered(members.select("cls", F.explode(F.array("lo", "hi")).alias("end"))), sets, num, den)
-    roots = connected_components(edges, "a", "b").select(F.col("node").alias("cls"), "root")
+    def link(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        new = _edges(pairs, sets, num, den)
+        edges = materialise(new if before is None else before.unionByName(new), "edges")
+        roots = connected_components(edges, "a", "b").select(F.col("node").alias("cls"), "root")
+        return edges, materialise(roots, "roots")
+
+    def open_members(roots: DataFrame) -> DataFrame:
+        """The members of the keys that still hold several components."""
+        named = members.select("key", "cls").join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+        several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+        return materialise(named.join(several, "key"), "open")
+
+    edges, roots = link(ordered(members.select("cls", F.explode(F.array("lo", "hi")).alias("end"))), None)
+    left = open_members(roots)
+    degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+    hubs = left.join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("most")).select("key", F.col("most.cls").alias("end"))
+    edges, roots = link(ordered(left.join(hubs, "key").select("cls", "end")), edges)
+    left = open_members(roots)
+    other = left.select("key", F.col("cls").alias("end"), F.col("root").alias("other"))
+    _, roots = link(ordered(left.join(other, "key").where("root < other").select("cls", "end")), edges)
 
     classes = rows.groupBy("cls").agg(F.min("id").alias("first"))
     grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))

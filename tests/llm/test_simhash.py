@@ -134,3 +134,14 @@ def test_every_pair_at_the_threshold_is_linked_and_none_below(spark):
     assert 100 < sum(want.values()) < 200
     found = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).select("id", "component_id").collect()}
     assert {k: found[1000 + k] == k for k in want} == want
+
+
+def test_copies_alike_only_through_a_hub_are_one_group(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    copies = [edited(base, 6, rng) for _ in range(300)]
+    assert min(jaccard(base, c) for c in copies) >= 0.8 and jaccard(copies[0], copies[1]) < 0.8
+    rows = [(k, " ".join(c)) for k, c in enumerate(copies)] + [(999, " ".join(base))]
+    assert [r.doc_id for r in simhash.deduplicate(frame(spark, rows)).collect()] == [0]
