@@ -61,12 +61,13 @@ def _repeats() -> str:
     return f"IF({n} < 2, 0L, {_let(candidates, 'c', f'IF(size(c) = 0, 0L, {_let(by_words, chr(115), _let(twice, chr(112), covered))})')})"
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", hash_col: str | None = None) -> DataFrame:
     """(id, lang, n_chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common) per row.
 
     classes counts characters by CLASSES, common counts words by BINS, with all
-    other words last.
+    other words last.  With hash_col, the text's hash is added under this name.
     """
+    extra = [hash_col] if hash_col else []
     t = docs.select(
         F.col(id_col).cast("long").alias("id"),
         (F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")).alias("lang"),
@@ -89,8 +90,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.expr(_let(words, "w", of_words)).alias("a"),
         F.expr(_let("regexp_replace(text, '[a-z]+', '')", "r", _let(rest, "q", of_chars))).alias("b"),
         F.expr(_let(lines, "l", "cast(size(l) - size(array_distinct(l)) as bigint)")).alias("n_dup_lines"),
+        *[F.xxhash64("text").alias(c) for c in extra],
     ).select(
-        "id", "lang", "n_chars", "a.n_words", "b.word_chars", F.element_at("b.classes", 5).alias("n_symbols"), "n_dup_lines", "a.n_repeat_words", "b.classes", "a.common"
+        "id", "lang", "n_chars", "a.n_words", "b.word_chars", F.element_at("b.classes", 5).alias("n_symbols"), "n_dup_lines", "a.n_repeat_words", "b.classes", "a.common", *extra
     )
 
 
@@ -146,9 +148,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, all columns, of the rows that are kept; rows that repeat an id stay if one of them is kept."""
-    kept = quality(docs, id_col).where("kept").select(F.col("id").alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs, all columns, of the rows that are kept: each row by its own text and language, whatever other rows share its id."""
+    feats = materialise(features(docs, id_col, hash_col="_kept_hash"), "features")
+    kept = judged(feats, references(feats)).where("kept").select(F.col("id").alias("_kept_id"), F.col("lang").alias("_kept_lang"), "_kept_hash")
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & F.col("lang").cast("string").eqNullSafe(F.col("_kept_lang")) & (own == F.col("_kept_hash"))
+    return docs.join(kept, same, "left_semi")
 
 
 def _oracle() -> str:

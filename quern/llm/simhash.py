@@ -282,12 +282,19 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df's rows, all columns, of the smallest id of each group of similar rows; of rows that repeat this id one stays.
+    """df's rows, all columns: one row of each group of similar rows, that of the smallest id and, among rows of this id, of the smallest text hash.
 
-    Rows without id stay if their group has no id; null, empty and blank texts
-    are one group; an empty table gives no rows.
+    The decision goes by id and text, so different texts under one id or without
+    id are judged each for itself; a row without id stays only if its group has
+    no id; null, empty and blank texts are one group; an empty table gives no rows.
     """
-    found = similar_groups(df, id_col, text_col, shingle, similarity)
-    stay = materialise(found.where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n")), "stay").select(F.col("id").alias("_stay_id"), "n")
-    kept = df.join(stay.select("_stay_id"), F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")), "left_semi")
-    return kept.dropDuplicates([id_col]) if stay.where("n > 1 AND _stay_id IS NOT NULL").limit(1).count() else kept
+    found = similar_groups(df, id_col, text_col, shingle, similarity).groupBy("root", "id", "cls").agg(F.count("*").alias("n"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "cls", "n")).alias("x"))
+    stay = materialise(first.select(F.col("x.id").alias("_stay_id"), F.col("x.cls").alias("_stay_cls"), F.col("x.n").alias("_stay_n")), "stay")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (_class_of(text_col) == F.col("_stay_cls"))
+    kept = df.join(stay.where("_stay_n = 1"), same, "left_semi")
+    repeated = stay.where("_stay_n > 1")
+    if not repeated.limit(1).count():
+        return kept
+    once = df.join(repeated, same, "left_semi").withColumn("_stay_cls", _class_of(text_col)).dropDuplicates([id_col, "_stay_cls"]).drop("_stay_cls")
+    return kept.unionByName(once)

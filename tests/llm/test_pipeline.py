@@ -54,3 +54,17 @@ def test_stages(spark, tmp_path):
     assert out[3] == sorted(want) and all(source[i] is None or source[i] in sizes for i in want)
     assert sorted((tuple(r) for r in df.collect()), key=lambda r: r[1]) == plain([(i, text[i]) for i in out[3]])
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_rows_that_share_an_id_are_judged_each_for_itself(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghik") for _ in range(6))
+    make = lambda n: " ".join(word() if k % 3 else "the" for k in range(n))
+    good, other, item = make(90), make(80), make(30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for i in (5, None):
+        docs = [(i, t, "en", "s", len(t)) for t in (good, "too short", other, f"{item} {make(60)}")]
+        df = corpus_pipeline.quality_rules(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path))
+        assert sorted(r.text for r in df.collect()) == sorted(d[1] for d in docs if d[1] != "too short")
+        clean = corpus_pipeline.benchmark_decontamination(spark, df, str(tmp_path))
+        assert sorted(r.text for r in clean.collect()) == sorted([good, other])

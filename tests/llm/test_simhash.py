@@ -145,3 +145,10 @@ def test_copies_alike_only_through_a_hub_are_one_group(spark):
     assert min(jaccard(base, c) for c in copies) >= 0.8 and jaccard(copies[0], copies[1]) < 0.8
     rows = [(k, " ".join(c)) for k, c in enumerate(copies)] + [(999, " ".join(base))]
     assert [r.doc_id for r in simhash.deduplicate(frame(spark, rows)).collect()] == [0]
+
+
+def test_each_row_is_decided_by_its_own_text(spark):
+    alone = [f"{name} is all that this {name} text of {name} has to say" for name in ("alpha", "beta", "gamma", "delta")]
+    rows = [(None, alone[0]), (None, alone[1]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (1, "the shared text of three rows"), (7, "the shared text of three rows"), (None, "the shared text of three rows")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted([(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (1, rows[5][1])], key=str)
