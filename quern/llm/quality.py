@@ -15,6 +15,7 @@ by their words themselves, which makes the count exact.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ CLASSES = ["lower", "upper", "digit", "stop", "symbol", "other_ascii", "beyond_a
 PLACE_BITS = 24
 MIN_CHARS, MIN_WORDS = 300, 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.34, 0.36
+#: The pipeline's stage: of the distance that a text without any common word has to the nearest reference.
+WORD_SHARE = 0.96
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -114,14 +117,26 @@ def _distance(own: str, reference: list[int]) -> Column:
     return F.expr(_let(f"cast(aggregate({own}, 0L, (a, x) -> a + x) as double)", "n", f"IF(n = 0, 0D, sqrt(greatest(0D, {both} / 2)))"))
 
 
-def judged(feats: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
+def word_limit(refs: dict[str, tuple[list[int], list[int]]]) -> float:
+    """WORD_SHARE of the word distance of a text without common words, MAX_WORD_DISTANCE at most and where a reference has no common words itself."""
+    found = []
+    for _, words in refs.values():
+        if total := sum(words):
+            q = np.array(words) / total
+            p = np.eye(len(q))[-1]
+            part = lambda x, m=(p + q) / 2: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+            found.append(float(np.sqrt(max(0.0, (part(p) + part(q)) / 2))))
+    return min(MAX_WORD_DISTANCE, WORD_SHARE * min(found)) if found and min(found) > 1e-9 else MAX_WORD_DISTANCE
+
+
+def judged(feats: DataFrame, refs: dict[str, tuple[list[int], list[int]]], max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """feats with class_distance and word_distance to the nearest reference, base_failed and kept.
 
     A text of a language without reference, or any text if there is no
     reference, is kept if it passes the base rules.
     """
     nearest = lambda c, i: F.least(*ds) if len(ds := [_distance(c, r[i]) for _, r in sorted(refs.items())]) > 1 else ds[0] if ds else F.lit(0.0)
-    far = (F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+    far = (F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > max_word_distance)
     known = F.col("lang").isNull() | F.col("lang").isin(*refs) if refs else F.lit(False)
     return (
         feats.withColumn("class_distance", nearest("classes", 0)).withColumn("word_distance", nearest("common", 1))
@@ -148,9 +163,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, all columns, of the rows that are kept: each row by its own text and language, whatever other rows share its id."""
+    """docs, all columns, of the rows that are kept: each row by its own text and language, whatever other rows share its id.
+
+    A long text is also dropped if its common words are about as far from every
+    reference as those of a text that has none.
+    """
     feats = materialise(features(docs, id_col, hash_col="_kept_hash"), "features")
-    kept = judged(feats, references(feats)).where("kept").select(F.col("id").alias("_kept_id"), F.col("lang").alias("_kept_lang"), "_kept_hash")
+    refs = references(feats)
+    kept = judged(feats, refs, word_limit(refs)).where("kept").select(F.col("id").alias("_kept_id"), F.col("lang").alias("_kept_lang"), "_kept_hash")
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & F.col("lang").cast("string").eqNullSafe(F.col("_kept_lang")) & (own == F.col("_kept_hash"))
     return docs.join(kept, same, "left_semi")

@@ -256,3 +256,12 @@ def test_planted_words_are_found(spark):
 def test_no_toxic_labels_make_everything_clean(spark):
     field = toxicity.fit([("some text", 0)])
     assert toxicity.tag(frame(spark), field).where("score >= 0.3").count() == 0
+
+
+def test_the_stage_drops_long_texts_without_common_words(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfghklm") for _ in range(6))
+    prose = lambda: " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.2 else word() for _ in range(150))
+    rows = [(i, prose(), "en") for i in range(30)] + [(99, " ".join(word() for _ in range(150)), "en"), (100, " ".join(word() for _ in range(150)), "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in quality.filtered(df).collect()) == [*range(30), 100]
