@@ -21,10 +21,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, materialise, small_batches
+from ._common import SPACE, broadcast_if, materialise, small_batches
 from .components import connected_components
 
 SEGMENTS, WIDTH = 16, 4
@@ -105,19 +105,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 
 
+#: Classes that share a prefix shingle are broadcast up to so many.
+MET_LIMIT = 1_000_000
 #: Bits of the parity sketches.
 SKETCH = 1024
 #: Shingles in more than this share of a task's texts, and in so many at least, go last in the order of prefixes.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 0.002, 8, 1 << 18
 
 
+class _Words(dict):
+    """The hashes of the words met so far."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
+        return h
+
+
+_KNOWN: dict[int, _Words] = {}
+
+
 def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
     """The sorted different 64-bit hashes of a text's word shingles; a shorter text is one shingle, a text without words has none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    seen: dict[bytes, int] = {}
-    w = np.array([seen[x] if x in seen else seen.setdefault(x, xxhash.xxh64_intdigest(x, seed)) for x in words], np.uint64)
+    known = _KNOWN.setdefault(seed, _Words(seed))
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(known) > 1 << 18:
+        known.clear()
     k = min(shingle, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
@@ -149,8 +167,11 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=SKETCH) & 1).tobytes()
 
 
-def _edges(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity: sizes and parity sketches rule out, the whole sets decide."""
+def _edges(pairs: DataFrame, sets: DataFrame, num: int, den: int, one_each: bool = False) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity: sizes and parity sketches rule out, the whole sets decide.
+
+    With one_each, of the pairs that aren't ruled out only the first of each b is decided.
+    """
 
     def near(batches):
         for b in batches:
@@ -173,6 +194,8 @@ def _edges(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     side = lambda n, *c: sets.select(F.col("cls").alias(n), *[F.col(x).alias(f"{x}_{n}") for x in c])
     left = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
+    if one_each:
+        left = left.groupBy("b").agg(F.min("a").alias("a"))
     return left.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
 
 
@@ -214,8 +237,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashes.  Two sets that have it share a shingle of their prefixes, whatever
     the order is, so every such pair meets: common shingles come last, the others
     in the order of their hashes.  Where sets share a shingle of their prefixes,
-    all meet the first and the last one, then all meet the one that has most
-    links; in what isn't yet connected after that all pairs of different
+    all meet the first and the last one and each is linked to one of those it
+    resembles, then all meet the one that has most links; in what isn't yet connected after that all pairs of different
     components meet.  Rows of equal texts are one class; root names the component.
     """
     spark = df.sparkSession
@@ -245,16 +268,18 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     emitted = texts.mapInArrow(keys, "key long, cls long")
-    shared = emitted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi")
-    members = materialise(emitted.join(shared, "key").select("key", "cls", "lo", "hi").distinct(), "members")
-    met = members.select("cls").distinct()
-    sets = materialise(texts.join(met, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")).mapInArrow(sets_of, "cls long, n long, sketch binary, hashes binary"), "sets")
+    of_key = Window.partitionBy("key")
+    ends = emitted.withColumns({"lo": F.min("cls").over(of_key), "hi": F.max("cls").over(of_key)}).where("lo != hi")
+    members = materialise(ends.distinct(), "members")
+    met = materialise(members.select("cls").distinct(), "met")
+    held = texts.join(broadcast_if(met, met.count(), MET_LIMIT), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
+    sets = materialise(held.mapInArrow(sets_of, "cls long, n long, sketch binary, hashes binary"), "sets")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("cls != end").select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()
 
-    def link(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        new = _edges(pairs, sets, num, den)
+    def link(pairs: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        new = _edges(pairs, sets, num, den, before is None)
         edges = materialise(new if before is None else before.unionByName(new), "edges")
         roots = connected_components(edges, "a", "b").select(F.col("node").alias("cls"), "root")
         return edges, materialise(roots, "roots")
@@ -265,14 +290,16 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
         return materialise(named.join(several, "key"), "open")
 
-    edges, roots = link(ordered(members.select("cls", F.explode(F.array("lo", "hi")).alias("end"))), None)
-    left = open_members(roots)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-    hubs = left.join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("most")).select("key", F.col("most.cls").alias("end"))
-    edges, roots = link(ordered(left.join(hubs, "key").select("cls", "end")), edges)
+    edges, roots = link(ordered(members.select("cls", F.explode(F.array("lo", "hi")).alias("end"))))
     left = open_members(roots)
-    other = left.select("key", F.col("cls").alias("end"), F.col("root").alias("other"))
-    _, roots = link(ordered(left.join(other, "key").where("root < other").select("cls", "end")), edges)
+    if not left.isEmpty():
+        degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+        hubs = left.join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("most")).select("key", F.col("most.cls").alias("end"))
+        edges, roots = link(ordered(left.join(hubs, "key").select("cls", "end")), edges)
+        left = open_members(roots)
+    if not left.isEmpty():
+        other = left.select("key", F.col("cls").alias("end"), F.col("root").alias("other"))
+        _, roots = link(ordered(left.join(other, "key").where("root < other").select("cls", "end")), edges)
 
     classes = rows.groupBy("cls").agg(F.min("id").alias("first"))
     grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
