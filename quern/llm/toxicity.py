@@ -130,7 +130,13 @@ def token_labels(texts: list[tuple[list[list[bytes]], int]], chance: float = 0.1
 
 
 def fit(texts: list[tuple[str | None, int]], rounds: int = 30, rate: float = 0.2, l2: float = 1e-4, clean_chains: int = 4_000) -> Field:
-    """A field fitted by Adam to the word labels of labelled documents; without toxic ones everything is clean."""
+    """A field fitted by Adam to the word labels of labelled documents; without toxic ones everything is clean.
+
+    Chains of toxic documents without a marked word are left out, and of the
+    clean documents' chains every k-th is taken, clean_chains at most.  The
+    transitions' gradient takes products of neighbours' marginals for the pair
+    marginals, so the fit is not exactly that of the likelihood.
+    """
     cut = [(chains_of(t), y) for t, y in texts]
     marks = token_labels(cut) if len({y for _, y in cut}) == 2 else set()
     toxic = lambda w: any(k in marks for k in keys_of(w))
