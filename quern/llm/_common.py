@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +38,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that very long texts don't meet in one batch by the thousand."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 1000, size: int = 16 << 20):
+    """The batches in slices of at most so many rows, and of about so many bytes of text where one row doesn't have more.
+
+    What Python makes of a batch is bounded by this alone; the session's own batch size, which later queries see, stays as it is.
+    """
+    for b in batches:
+        held = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(held), 0
+        while at < b.num_rows:
+            most = (ends[at - 1] if at else 0) + size
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, most, side="right"))))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def fresh(label: str) -> str:
+    """A column name that no table has, for a column that stands beside the caller's own."""
+    return f"_{label}_{uuid.uuid4().hex}"
 
 
 def words_of(text: Column) -> Column:

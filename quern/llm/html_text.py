@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import load, small_batches
+from ._common import load, slices
 
 #: Elements whose content is never text of the page.
 DROPPED = {"script", "style", "noscript", "template", "svg", "math", "head", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "title", "datalist"}
@@ -234,11 +234,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     blocks give; repeated rows and null ids each have a row; other columns are
     ignored.
     """
-    small_batches(pages.sparkSession)
     grown = tree()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(t, grown) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]

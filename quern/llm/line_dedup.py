@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import load, materialise, small_batches
+from ._common import fresh, load, materialise, slices
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
@@ -96,7 +96,7 @@ def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
 
 def _count(batches):
     total = np.zeros(COUNTERS, np.int64)
-    for b in batches:
+    for b in slices(batches):
         sets = Sets(b.column(0), None)
         total += np.bincount((sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
     chunks = [total[i : i + CHUNK].astype("<i8").tobytes() for i in range(0, COUNTERS, CHUNK)]
@@ -121,7 +121,7 @@ def _post(counts, n_buckets: int, t: float):
     """The prefixes of the batch's different sets, packed by bucket of the word; words counted once have no second line."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = Sets(b.column(0), counts.value)
             _, own = np.unique(sets.sig, return_index=True)
             own = own[sets.size[own] > 0]
@@ -202,7 +202,7 @@ def _contents(counts, wanted):
 
     def run(batches):
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(1).to_numpy()
             sets = Sets(b.column(0), counts.value)
             order = np.lexsort((sets.number, ids[sets.doc], sets.sig))
@@ -295,7 +295,7 @@ def sig_filter(sigs: DataFrame) -> bytes:
 
 
 def _lines(batches):
-    for b in batches:
+    for b in slices(batches):
         sets = Sets(b.column(0), None)
         yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(sets.doc)), pa.array(sets.number), pa.array(sets.sig)], names=["id", "line", "sig"])
 
@@ -312,7 +312,6 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     removed; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"))
     counts = spark.sparkContext.broadcast(word_counts(texts))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -345,11 +344,11 @@ def per_document(lines: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with the later matches cut out of the text; null texts stay null."""
-    gone = matched_lines(docs, id_col, text_col, threshold).where("removed").groupBy("id").agg(F.collect_set("line").alias("_gone"))
-    gone = gone.withColumnRenamed("id", "_gone_id")
-    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone", "_gone_id")
+    gone, own = fresh("gone"), fresh("own")
+    found = matched_lines(docs, id_col, text_col, threshold).where("removed").groupBy(F.col("id").alias(own)).agg(F.collect_set("line").alias(gone))
+    out = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long"))), "\n")
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).drop(gone, own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, broadcast_if, materialise, small_batches
+from ._common import SPACE, broadcast_if, materialise, slices
 from .components import connected_components
 
 SEGMENTS, WIDTH = 16, 4
@@ -51,10 +51,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are what ``[^\\x20\\x09-\\x0D]+`` matches after A-Z are lower-cased; a
     shorter text is one shingle; null, empty and blank texts have fingerprint 0.
     """
-    small_batches(df.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint_of(t or b"", shingle, seed) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
@@ -242,7 +241,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     components meet.  Rows of equal texts are one class; root names the component.
     """
     spark = df.sparkSession
-    small_batches(spark)
     num, den = ratio_of(similarity)
     rows = df.select(F.col(id_col).cast("long").alias("id"), _class_of(text_col).alias("cls"))
     texts = df.select(_class_of(text_col).alias("cls"), F.col(text_col).cast("string").alias("text"))

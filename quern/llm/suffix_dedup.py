@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if, load, materialise, small_batches
+from ._common import broadcast_if, load, materialise, slices
 
 LENGTH, GRAM = 50, 20
 PIECE = 4 << 20
@@ -139,7 +139,7 @@ def _ask(n_buckets: int, length: int, gram: int):
     """Anchors as packed questions to their buckets; those that two documents of the batch share are answered at once (n < 0)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_numpy()
             d, p, h = batch_anchors(b.column(1).to_pylist(), length, gram)
             if not len(d):
@@ -209,7 +209,7 @@ def _segments(n_buckets: int, length: int, gram: int):
     """Segments around flagged anchors, one of each kind in a batch; a later document's copy of a segment is answered at once (offset -1)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             kinds: dict[tuple[bytes, int], list[tuple[int, int, int]]] = {}
             for i, key, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for p, first, last in own_strings(text, np.unique([x for ps in places for x in ps]), length, gram):
@@ -353,7 +353,7 @@ def repeated_part(segments: list[bytes], owner: np.ndarray, length: int) -> tupl
 
 
 def _result(batches):
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for i, key, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
             ranges = [f["ranges"] for f in found or [] if f["key"] == key]
@@ -379,7 +379,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove each other's bytes; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text")
     ).withColumns({"key": F.xxhash64("text"), "sha": F.unhex(F.sha2("text", 256)), "n": F.octet_length("text").cast("long")})
