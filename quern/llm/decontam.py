@@ -4,8 +4,9 @@ The normalised test items are cut into blocks of a bounded number of words; a
 block becomes one automaton, which is broadcast.  Texts stream through it word
 by word; the automaton's state gives the longest suffix that occurs in an item,
 hence every window that ends at the word.  Further blocks follow as further
-passes in the same stage, each adding its hit spans to the row, so no automaton
-grows with the benchmark and texts are never shuffled.
+passes, each adding its hit spans to the row and stored before the next one
+begins: neither the driver nor a worker ever holds more than one block, whatever
+the benchmark's size, and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import load, materialise, small_batches
+from ._common import fresh, load, materialise, slices
 
 WINDOW = 13
 #: Words of one automaton; about 100 MB of Python memory.
 BLOCK_WORDS = 150_000
-TEXT_SCHEMA = "row_id long, text string, n_words long, spans array<int>, items array<string>"
 #: Bytes to bytes: A-Z lower-cased, word bytes [0-9a-z\x80-\xFF] kept, everything else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -37,10 +38,11 @@ class Automaton:
 
     next_of[state * span + word] is a transition, link the suffix link, size the
     longest length.  ends[state] lists, for items shorter than the window, their
-    whole lengths; owners[(state, length)] the items whose windows these are.
+    whole lengths; owners[(state, length)] the items whose windows these are;
+    items without an id are None.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         for _, words in items:
@@ -55,7 +57,7 @@ class Automaton:
             for c in codes:
                 last = self._extend(last, c)
         self.shortest = min((min(window, len(c)) for _, c in coded if c), default=0)
-        self.owners: dict[int, list[str]] = {}
+        self.owners: dict[int, list[str | None]] = {}
         self.short: dict[int, list[int]] = {}
         for item, codes in coded:
             if not codes:
@@ -122,7 +124,7 @@ class Automaton:
             if i >= length - 1:
                 yield state, length
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """(merged hit spans [from, to) in words, the items with a window in the text)."""
         get, step, link, size, span, window = self.vocabulary.get, self.next_of.get, self.link, self.size, self.span, self.window
         exact, out, owners = self.exact, self.out, self.owners
@@ -165,67 +167,94 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> list:
-    """The items in blocks of about block_words words: one list of (item id, text) at a time is collected.
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list]:
+    """The items in blocks of about block_words words: (item id, text) of one block is collected when it is asked for.
 
-    Items without an id or without words are left out.  An item longer than a
-    block is a block by itself.
+    Items without text are left out, those without an id are not.  An item
+    longer than a block is a block by itself.
     """
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     size = F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     total = items.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-total // block_words))
     if n == 1:
-        return [items.collect()]
+        yield items.collect()
+        return
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
     held = materialise(items.withColumn("part", part), "items")
-    return [held.where(F.col("part") == k).select("item", "text").collect() for k in range(n)]
+    for k in range(n):
+        yield held.where(F.col("part") == k).select("item", "text").collect()
 
 
-def _pass(auto, first: bool):
+def _pass(auto, at: list[int], names: list[str], first: bool):
+    """at: the places of the text and of the three result columns; the first pass finds only the former."""
+
     def run(batches):
         a = auto.value
-        for b in batches:
-            ids, texts = b.column(0), b.column(1).cast(pa.binary()).to_pylist()
-            held = [[]] * len(texts) if first else b.column(3).to_pylist()
-            names = [[]] * len(texts) if first else b.column(4).to_pylist()
+        for b in slices(batches):
+            texts = b.column(at[0]).cast(pa.binary()).to_pylist()
+            held = [[]] * len(texts) if first else b.column(at[2]).to_pylist()
+            owned_before = [[]] * len(texts) if first else b.column(at[3]).to_pylist()
             n_words, spans, items = [], [], []
-            for t, s, i in zip(texts, held, names, strict=True):
+            for t, s, i in zip(texts, held, owned_before, strict=True):
                 words = words_of(t)
                 new, owned = a.hits(words) if a.shortest else ([], set())
                 flat = new if not s else merged(new + list(zip(s[::2], s[1::2], strict=True)))
                 n_words.append(len(words))
                 spans.append([x for ab in flat for x in ab])
-                items.append(sorted(owned.union(i)))
-            yield pa.RecordBatch.from_arrays(
-                [ids, b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=["row_id", "text", "n_words", "spans", "items"],
-            )
+                items.append(sorted(owned.union(i), key=lambda x: (x is None, x)))
+            found = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            kept = b.columns if first else [c for k, c in enumerate(b.columns) if k not in at[1:]]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=names)
 
     return run
 
 
+def annotated(
+    docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """docs, all columns, with those of names added: the number of words, the hit spans and the items' ids."""
+    spark, out, first = docs.sparkSession, docs, True
+    n = len(docs.columns)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *T.StructType.fromDDL("a long, b array<int>, c array<string>")])
+    for f, name in zip(schema.fields[n:], names, strict=True):
+        f.name = name
+    schema = T.StructType(schema.fields)
+    at, before = [docs.columns.index(text_col), n, n + 1, n + 2], None
+    text = F.col(text_col).cast("string").alias(text_col)
+    if schema[at[0]].dataType != T.StringType():
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if k == at[0] else f for k, f in enumerate(schema)])
+        out = docs.select(*[text if c == text_col else F.col(c) for c in docs.columns])
+    for items in blocks_of(benchmark, item_col, item_text, block_words):
+        if before is not None:
+            out = materialise(out, "pass")
+            before.destroy()
+        before = spark.sparkContext.broadcast(Automaton([(i, words_of(t)) for i, t in items], window))
+        out = out.mapInArrow(_pass(before, at, schema.names, first), schema)
+        first = False
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(row_id, text, n_words, spans, items) for every row of docs.
 
     spans holds from, to, from, to ... of the merged hit runs in words, items the
-    ids (as strings, sorted) of the items one of whose windows occurs.  Null and
-    empty texts have no words; an empty benchmark hits nothing; repeated rows and
-    null ids have their row; other columns are ignored.
+    ids (as strings, sorted) of the items one of whose windows occurs; items
+    without an id hit like others and are one null there.  Null and empty texts
+    have no words; an empty benchmark hits nothing; repeated rows and null ids
+    have their row; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    out = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    for k, items in enumerate(blocks_of(benchmark, item_col, item_text, block_words)):
-        auto = spark.sparkContext.broadcast(Automaton([(i, words_of(t)) for i, t in items], window))
-        out = out.mapInArrow(_pass(auto, k == 0), TEXT_SCHEMA)
-    return out
+    two = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    return annotated(two, benchmark, ("n_words", "spans", "items"), "text", item_col, item_text, window, block_words)
+
+
+def hit_words(spans: str) -> Column:
+    return F.expr(f"aggregate(transform(`{spans}`, (x, i) -> IF(i % 2 = 0, -cast(x as long), cast(x as long))), 0L, (a, x) -> a + x)")
 
 
 def with_verdict(found: DataFrame, min_share: int = 20) -> DataFrame:
     """Adds n_hit, n_items and contaminated: hit words are at least 1 / min_share of the words, and there are any."""
-    odd = F.expr("aggregate(transform(spans, (x, i) -> IF(i % 2 = 0, -cast(x as long), cast(x as long))), 0L, (a, x) -> a + x)")
-    return found.withColumns({"n_hit": odd, "n_items": F.size("items").cast("long")}).withColumn(
+    return found.withColumns({"n_hit": hit_words("spans"), "n_items": F.size("items").cast("long")}).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * min_share >= F.col("n_words"))
     )
 
@@ -250,22 +279,26 @@ def without_spans(texts: list[str | None], spans: list[list[int]]) -> list[str |
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: int = 20, min_span: int | None = None) -> DataFrame:
-    """(row_id, text) of the rows that are not contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_share: int = 20, min_span: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs, all columns, of the rows that are not contaminated: each row by its own text, whatever other rows share its id.
 
     With min_span, hit runs of at least so many words are cut out of the rows
     that stay; without it these rows stay whole.
     """
-    found = with_verdict(contamination(docs, benchmark, id_col, text_col), min_share).where(~F.col("contaminated"))
+    words, spans, items = (fresh(x) for x in ("words", "spans", "items"))
+    n_hit = hit_words(spans)
+    found = annotated(docs, benchmark, (words, spans, items), text_col, block_words=block_words)
+    kept = found.where(~((n_hit > 0) & (n_hit * min_share >= F.col(words)))).drop(words, items)
     if min_span is None:
-        return found.select("row_id", "text")
+        return kept.drop(spans)
+    at, last = kept.columns.index(text_col), len(kept.columns) - 1
 
     def cut(batches):
-        for b in batches:
-            spans = [[x for a, z in zip(s[::2], s[1::2], strict=True) if z - a >= min_span for x in (a, z)] for s in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(without_spans(b.column(1).to_pylist(), spans), pa.string())], names=["row_id", "text"])
+        for b in slices(batches):
+            long = [[x for a, z in zip(s[::2], s[1::2], strict=True) if z - a >= min_span for x in (a, z)] for s in b.column(last).to_pylist()]
+            yield b.set_column(at, b.schema.names[at], pa.array(without_spans(b.column(at).to_pylist(), long), pa.string()))
 
-    return found.select("row_id", "text", "spans").mapInArrow(cut, "row_id long, text string")
+    return kept.mapInArrow(cut, kept.schema).drop(spans)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +311,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same by joining 13-word strings.
 ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 g AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS gram
       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
 d AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS gram
