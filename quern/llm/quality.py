@@ -36,7 +36,7 @@ CLASSES = ["lower", "upper", "digit", "stop", "symbol", "other_ascii", "beyond_a
 PLACE_BITS = 24
 MIN_CHARS, MIN_WORDS = 300, 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.34, 0.36
-#: The pipeline's stage: of the distance that a text without any common word has to the nearest reference.
+#: The word threshold as a share of the distance that a text without any common word has to the nearest reference; MAX_WORD_DISTANCE at most.
 WORD_SHARE = 0.96
 
 
@@ -64,17 +64,18 @@ def _repeats() -> str:
     return f"IF({n} < 2, 0L, {_let(candidates, 'c', f'IF(size(c) = 0, 0L, {_let(by_words, chr(115), _let(twice, chr(112), covered))})')})"
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", hash_col: str | None = None) -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", whole: bool = False) -> DataFrame:
     """(id, lang, n_chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common) per row.
 
     classes counts characters by CLASSES, common counts words by BINS, with all
-    other words last.  With hash_col, the text's hash is added under this name.
+    other words last.  With whole, the row itself is added, as a struct.
     """
-    extra = [hash_col] if hash_col else []
+    extra = ["row"] if whole else []
     t = docs.select(
         F.col(id_col).cast("long").alias("id"),
         (F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(c) for c in extra],
     )
     words = f"IF({_blank('text')} = '', cast(array() as array<string>), split({_blank('text')}, '[\\\\x20\\\\x09-\\\\x0D]+'))"
     lines = "filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
@@ -93,16 +94,20 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.expr(_let(words, "w", of_words)).alias("a"),
         F.expr(_let("regexp_replace(text, '[a-z]+', '')", "r", _let(rest, "q", of_chars))).alias("b"),
         F.expr(_let(lines, "l", "cast(size(l) - size(array_distinct(l)) as bigint)")).alias("n_dup_lines"),
-        *[F.xxhash64("text").alias(c) for c in extra],
+        *extra,
     ).select(
         "id", "lang", "n_chars", "a.n_words", "b.word_chars", F.element_at("b.classes", 5).alias("n_symbols"), "n_dup_lines", "a.n_repeat_words", "b.classes", "a.common", *extra
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def references(feats: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """The summed histograms of the languages that have word lists, over all rows."""
+    """The summed histograms of the languages that have word lists, over all rows that pass the base rules."""
     sums = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-    found = feats.where(F.col("lang").isin(*COMMON)).groupBy("lang").agg(sums("classes", len(CLASSES)).alias("classes"), sums("common", len(BINS) + 1).alias("common"))
+    found = feats.where(F.col("lang").isin(*COMMON) & ~base_failed()).groupBy("lang").agg(sums("classes", len(CLASSES)).alias("classes"), sums("common", len(BINS) + 1).alias("common"))
     return {r.lang: (list(r.classes), list(r.common)) for r in found.collect()}
 
 
@@ -129,18 +134,21 @@ def word_limit(refs: dict[str, tuple[list[int], list[int]]]) -> float:
     return min(MAX_WORD_DISTANCE, WORD_SHARE * min(found)) if found and min(found) > 1e-9 else MAX_WORD_DISTANCE
 
 
-def judged(feats: DataFrame, refs: dict[str, tuple[list[int], list[int]]], max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def judged(feats: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
     """feats with class_distance and word_distance to the nearest reference, base_failed and kept.
 
-    A text of a language without reference, or any text if there is no
-    reference, is kept if it passes the base rules.
+    A text is far if its classes are further than MAX_CLASS_DISTANCE or its
+    words are about as far as those of a text without any common word.  A text
+    of a language without reference, or any text if there is no reference, is
+    kept if it passes the base rules.
     """
+    max_word_distance = word_limit(refs)
     nearest = lambda c, i: F.least(*ds) if len(ds := [_distance(c, r[i]) for _, r in sorted(refs.items())]) > 1 else ds[0] if ds else F.lit(0.0)
     far = (F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > max_word_distance)
     known = F.col("lang").isNull() | F.col("lang").isin(*refs) if refs else F.lit(False)
     return (
         feats.withColumn("class_distance", nearest("classes", 0)).withColumn("word_distance", nearest("common", 1))
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & ~(known & far))
     )
 
@@ -165,15 +173,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, all columns, of the rows that are kept: each row by its own text and language, whatever other rows share its id.
 
-    A long text is also dropped if its common words are about as far from every
-    reference as those of a text that has none.
+    The rows are stored once, with their features beside them; nothing is shuffled.
     """
-    feats = materialise(features(docs, id_col, hash_col="_kept_hash"), "features")
-    refs = references(feats)
-    kept = judged(feats, refs, word_limit(refs)).where("kept").select(F.col("id").alias("_kept_id"), F.col("lang").alias("_kept_lang"), "_kept_hash")
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & F.col("lang").cast("string").eqNullSafe(F.col("_kept_lang")) & (own == F.col("_kept_hash"))
-    return docs.join(kept, same, "left_semi")
+    held = materialise(features(docs, id_col, whole=True), "features")
+    return judged(held, references(held)).where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
@@ -195,13 +198,15 @@ r AS (SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words
       FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g), (VALUES (0), (1), (2)) v(o) WHERE n > 1 GROUP BY doc_id),
 u AS (SELECT doc_id, lang, 0 AS kind, i, classes[i] AS c FROM (SELECT *, unnest(range(1, 8)) AS i FROM f)
       UNION ALL SELECT doc_id, lang, 1, i, common[i] FROM (SELECT *, unnest(range(1, {len(BINS) + 2})) AS i FROM f)),
-q AS (SELECT lang, kind, i, c / sum(c) OVER (PARTITION BY lang, kind) AS q FROM (SELECT lang, kind, i, sum(c) AS c FROM u WHERE lang IN ({langs}) GROUP BY ALL)),
+good AS (SELECT doc_id FROM f LEFT JOIN r USING (doc_id) WHERE n_words >= 50 AND 100 * coalesce(n_repeat_words, 0) <= 50 * n_words),
+q AS (SELECT lang, kind, i, c / sum(c) OVER (PARTITION BY lang, kind) AS q FROM (SELECT lang, kind, i, sum(c) AS c FROM u WHERE lang IN ({langs}) AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL)),
+bare AS (SELECT sqrt(greatest(0, sum(CASE WHEN i = {len(BINS) + 1} THEN log2(2 / (1 + q)) + q * log2(2 * q / (1 + q)) WHEN q > 0 THEN q ELSE 0 END) / 2)) AS dist FROM q WHERE kind = 1 GROUP BY lang),
 p AS (SELECT doc_id, kind, i, c / nullif(sum(c) OVER (PARTITION BY doc_id, kind), 0) AS p FROM u),
 j AS (SELECT doc_id, kind, q.lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS dist
       FROM p JOIN q USING (kind, i) GROUP BY ALL),
 m AS (SELECT doc_id, coalesce(min(dist) FILTER (WHERE kind = 0), 0) AS class_distance, coalesce(min(dist) FILTER (WHERE kind = 1), 0) AS word_distance FROM j GROUP BY doc_id),
 v AS (SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
-        (f.lang IS NULL OR f.lang IN (SELECT lang FROM q)) AND (n_chars >= {MIN_CHARS} AND class_distance > {MAX_CLASS_DISTANCE} OR n_words >= {MIN_WORDS} AND word_distance > {MAX_WORD_DISTANCE}) AS far
+        (f.lang IS NULL OR f.lang IN (SELECT lang FROM q)) AND (n_chars >= {MIN_CHARS} AND class_distance > {MAX_CLASS_DISTANCE} OR n_words >= {MIN_WORDS} AND word_distance > (SELECT CASE WHEN min(dist) > 1e-9 THEN least({MAX_WORD_DISTANCE}, {WORD_SHARE} * min(dist)) ELSE {MAX_WORD_DISTANCE} END FROM bare)) AS far
       FROM f LEFT JOIN r USING (doc_id) LEFT JOIN m USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (n_lines - n_different)::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v
