@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if, load, materialise, words_of
+from ._common import broadcast_if, fresh, load, materialise, words_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 BROADCAST_SOURCES = 10_000
 
 
@@ -69,8 +69,8 @@ def cuts(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCH
     aims = targets(sized, weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = materialise(aims.withColumn("epochs", F.least(whole, F.lit(max_epochs)).cast("int")), "aims")
-    n_ranges = min(65_536, max(1, -(-sized.count() // range_rows)))
-    ranged = sized.withColumn("range", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * n_ranges / 65_536).cast("int"))
+    n_ranges = max(1, -(-sized.count() // range_rows))
+    ranged = sized.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_ranges, 32))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     offset = F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")
     sums = sums.select(F.col("source").alias("_s"), F.col("range").alias("_r"), offset.alias("offset"))
@@ -99,16 +99,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     repeat an id share its place in the order; an empty table gives no rows.
     """
     plan = cuts(materialise(sizes(docs, id_col, text_col, source_col), "sizes"), weights, max_epochs)
-    plan = plan.select(F.col("source").alias("_mix_source"), "epochs", "cut")
-    plan = broadcast_if(plan, plan.count(), BROADCAST_SOURCES)
-    own = docs.columns
+    of, held, copy = fresh("source"), fresh("plan"), fresh("copy")
+    plan = broadcast_if(plan, plan.count(), BROADCAST_SOURCES).select(F.col("source").alias(of), F.struct("epochs", "cut").alias(held))
     row_id = F.col(id_col).cast("long")
-    n = docs.select("*", F.struct(key_of(row_id).alias("key"), row_id.alias("id")).alias("_mix_at")).join(
-        plan.withColumn("_mix_plan", F.struct("epochs", "cut")).select("_mix_source", "_mix_plan"), F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source"))
-    )
-    at = F.struct(F.col("_mix_at.key").alias("key"), F.coalesce("_mix_at.id", F.lit(-(1 << 63))).alias("id"))
-    times = F.col("_mix_plan.epochs") + F.when(F.col("_mix_plan.cut").isNotNull() & (at <= F.col("_mix_plan.cut")), 1).otherwise(0)
-    return n.select(*own, F.explode(F.array_repeat(F.lit(0), times)).alias("_mix_copy")).drop("_mix_copy")
+    n = docs.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col(of)))
+    at = F.struct(key_of(row_id).alias("key"), F.coalesce(row_id, F.lit(-(1 << 63))).alias("id"))
+    times = F.col(held)["epochs"] + F.when(F.col(held)["cut"].isNotNull() & (at <= F.col(held)["cut"]), 1).otherwise(0)
+    return n.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

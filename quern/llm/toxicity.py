@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import load, small_batches
+from ._common import load, slices
 from .decontam import FOLD
 
 #: Labelled documents that a model is fitted to, at most.
@@ -85,8 +85,8 @@ class Field:
         return out
 
 
-def forward_backward(s: np.ndarray, n: np.ndarray, moves: np.ndarray, start: float) -> np.ndarray:
-    """Marginals of the toxic state for emissions s (word, chain) of chains of n words; all in log odds."""
+def messages(s: np.ndarray, n: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log odds of the toxic state for emissions s (word, chain) of chains of n words."""
     a = np.exp(moves)
     turn = lambda odds, m: np.log((odds * m[1, 1] + m[0, 1]) / (odds * m[1, 0] + m[0, 0]))
     odds = lambda x: np.exp(np.clip(x, -40, 40))
@@ -96,9 +96,27 @@ def forward_backward(s: np.ndarray, n: np.ndarray, moves: np.ndarray, start: flo
         ahead[t] = s[t] + turn(odds(ahead[t - 1]), a)
     for t in range(len(s) - 2, -1, -1):
         back[t] = np.where(t + 1 < n, turn(odds(s[t + 1] + back[t + 1]), a.T), 0)
+    return ahead, back
+
+
+def marginals_of(ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(ahead + back, -40, 40)))
 
 
+def forward_backward(s: np.ndarray, n: np.ndarray, moves: np.ndarray, start: float) -> np.ndarray:
+    """The toxic state's marginals."""
+    return marginals_of(*messages(s, n, moves, start))
+
+
+def pair_sums(s: np.ndarray, n: np.ndarray, moves: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The expected number of moves [from][to], by the pair marginals of neighbouring words."""
+    both = np.arange(1, len(s))[:, None] < n[None, :]
+    left, right = ahead[:-1], (s + back)[1:]
+    score = np.stack([moves[0, 0] + 0 * left, moves[0, 1] + right, moves[1, 0] + left, moves[1, 1] + left + right])
+    p = np.exp(np.clip(score - score.max(0), -80, 0))
+    return (both * (p / p.sum(0))).sum((1, 2)).reshape(2, 2)
+
+
 def token_labels(texts: list[tuple[list[list[bytes]], int]], chance: float = 0.1) -> set[bytes]:
     """Features of words that tell toxic documents.
 
@@ -134,8 +152,7 @@ def fit(texts: list[tuple[str | None, int]], rounds: int = 30, rate: float = 0.2
 
     Chains of toxic documents without a marked word are left out, and of the
     clean documents' chains every k-th is taken, clean_chains at most.  The
-    transitions' gradient takes products of neighbours' marginals for the pair
-    marginals, so the fit is not exactly that of the likelihood.
+    gradient is that of the chains' likelihood and of the weights' squares.
     """
     cut = [(chains_of(t), y) for t, y in texts]
     marks = token_labels(cut) if len({y for _, y in cut}) == 2 else set()
@@ -170,18 +187,14 @@ def fit(texts: list[tuple[str | None, int]], rounds: int = 30, rate: float = 0.2
         per_word = np.zeros(len(words))
         for w, y, n, inside in batches:
             s = np.where(inside, emission[w], 0)
-            p = forward_backward(s, n, moves, start)
+            ahead, back = messages(s, n, moves, start)
+            p = marginals_of(ahead, back)
             off = np.where(inside, p - y, 0)
             per_word += np.bincount(w.ravel(), off.ravel(), len(words))
             grad[DIMENSIONS] += off.sum()
             grad[DIMENSIONS + 5] += off[0].sum()
-            both = inside[1:]
-            # The chain's pair marginals are close to products of neighbours' marginals; exact first moments suffice for these four weights.
-            for i in (0, 1):
-                for j in (0, 1):
-                    pi, pj = (p[:-1] if i else 1 - p[:-1]), (p[1:] if j else 1 - p[1:])
-                    yi, yj = (y[:-1] if i else 1 - y[:-1]), (y[1:] if j else 1 - y[1:])
-                    grad[DIMENSIONS + 1 + 2 * i + j] += (both * (pi * pj - yi * yj)).sum()
+            own = [(inside[1:] & (y[:-1] == i) & (y[1:] == j)).sum() for i in (0, 1) for j in (0, 1)]
+            grad[DIMENSIONS + 1 : DIMENSIONS + 5] += pair_sums(s, n, moves, ahead, back).ravel() - own
         grad[:DIMENSIONS] = np.bincount(flat, per_word[owner], DIMENSIONS)
         grad = grad / total * 1e3 + l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -224,12 +237,11 @@ def tag(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "
     ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast((field.weights, field.bias, field.moves, field.start))
 
     def run(batches):
         model = Field(*held.value)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             cut = [chains_of(t) for t in texts]
             found = iter(model.marginals([c for chains in cut for c in chains]))
