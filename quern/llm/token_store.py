@@ -2,25 +2,26 @@
 
 Texts are put into doc_id order by ranges, encoded by the task that writes
 them, and stored with small row groups and pages, dictionary-coded token ids
-and delta-coded metadata.  Page indexes are written, so a reader that wants
-some documents or only the metadata skips the rest.
+and delta-coded metadata.  A file is one range, and names follow the order.
+Page indexes are written, so a reader that wants some documents or only the
+metadata skips the rest.
 """
 
 from __future__ import annotations
 
-import gc
+import functools
 import json
 import os
-import re
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import load, shared_path, small_batches
+from ._common import load, shared_path, slices
 
 END_ID = 2
 STORE = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
@@ -36,7 +37,27 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
-CACHED = 200_000
+#: Bytes of text in a range, about.
+RANGE_BYTES = 24 << 20
+#: Different words that a worker remembers.
+CACHED = 400_000
+LETTER, DIGIT, OTHER, SPACE, BLANK, UNSURE = range(6)
+
+
+def _classes() -> np.ndarray:
+    """The class of each byte: letters of Latin, Cyrillic and ASCII, digits, spaces, other white space; UNSURE where a byte doesn't tell."""
+    k = np.full(256, OTHER, np.uint8)
+    k[[*range(65, 91), *range(97, 123)]] = LETTER
+    k[0x80:0xC0] = LETTER  # continues a letter
+    k[48:58] = DIGIT
+    k[32] = SPACE
+    k[9:14] = BLANK
+    k[[0, *range(0x1C, 0x20), *range(0xC0, 0x100)]] = UNSURE
+    k[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = LETTER
+    return k
+
+
+CLASSES = _classes()
 
 
 def default_tokenizer() -> str:
@@ -45,14 +66,65 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256))
+    return [chr(b) if b in own else chr(256 + next(rest)) for b in range(256)]
+
+
+def cut(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sure): where the byte-level pre-tokenizer's words start, and which texts it is sure of.
+
+    Texts lie end to end in data and end at ends.  Words are runs of letters,
+    of digits or of others, with one space before them; of white space the last
+    before a word stands apart, and 's, 't, 're, 've, 'm, 'll, 'd at a word's
+    start are words.  White space beside a space, and characters that aren't
+    plainly letters, make a text unsure.
+    """
+    n = len(data)
+    first = np.zeros(n + 3, bool)
+    first[0] = True
+    first[ends] = True
+    k = np.concatenate([CLASSES[data], np.full(3, OTHER, np.uint8)])
+    three = np.nonzero(data == 0xE2)[0]
+    three = three[three + 2 < n]
+    three = three[(data[three + 1] == 0x80) & (data[three + 2] >= 0x90) & (data[three + 2] <= 0xA7)]  # dashes and quotation marks
+    for i in range(3):
+        k[three + i] = OTHER
+    same = ~first[1:n]
+    now, before = k[1:n], k[: n - 1]
+    odd = np.zeros(n, bool)
+    odd[:n] = k[:n] == UNSURE
+    odd[1:] |= same & (((before == SPACE) & ((now == SPACE) | (now == BLANK))) | ((before == BLANK) & (now == SPACE)))
+    sign = np.nonzero(data[: n - 1] == 0xC3)[0]
+    odd[sign[(data[sign + 1] == 0x97) | (data[sign + 1] == 0xB7)]] = True
+    starts = first[:n].copy()
+    starts[1:] |= (now != before) & (before != SPACE)
+    blank = np.nonzero(k[:n] == BLANK)[0]
+    starts[blank[~first[blank + 1] & (k[blank + 1] != BLANK)]] = True
+    q = np.nonzero(data == 39)[0]
+    q = q[starts[q] & ~first[q + 1] & (k[q + 1] == LETTER)]
+    if len(q):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        a, b = padded[q + 1], np.where(first[q + 2], 0, padded[q + 2])
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ~one & (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108))
+        starts[q[one | two] + 1] = False
+        after = np.concatenate([q[one] + 2, q[two] + 3])
+        after = after[after < n]
+        starts[after[k[after] == LETTER]] = True
+    bad = np.concatenate([[0], np.cumsum(odd)])
+    return starts, bad[ends] == bad[np.concatenate([[0], ends[:-1]])]
+
+
 class Encoder:
-    """Texts to the bytes of their ids, little-endian unsigned 32-bit.
+    """Texts to ids.
 
-    A byte-level pre-tokenizer never joins what stands before a space to the
-    space unless white space stands there, so a text without white space before
-    a space is cut at its spaces.  A batch's pieces that aren't known are
-    encoded as one text, whose ids are cut where a token starts with a space;
-    other texts, and other kinds of tokenizers, are encoded whole.
+    A batch is cut into the pre-tokenizer's words by classes of bytes; each
+    different word is encoded once, by the tokenizer's own model without its
+    pre-tokenizer, and a text's ids are put together from its words'.  Texts
+    that the cut isn't sure of, and other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, spec: str):
@@ -63,113 +135,160 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         made = json.loads(spec)
         pre = made.get("pre_tokenizer") or {}
-        self.by_piece = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.letters = {b: ord(c) for b, c in enumerate(_byte_letters())}
         vocabulary = self.tokenizer.get_vocab()
+        self.mark = vocabulary.get(chr(self.letters[10]))
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        #: Pieces used lately, and those used before: a piece that isn't used while CACHED others are is forgotten.
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """pieces, none of them empty, each with the space before it."""
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            start = np.nonzero(self.spaced[ids])[0]
-            if len(start) != len(part):
-                self.known.update(zip(part, self._encode([" " + p for p in part]), strict=True))
-                continue
-            data, bounds = ids.tobytes(), [*(start * 4).tolist(), len(ids) * 4]
-            self.known.update(zip(part, (data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if not t or not self.by_piece or _spaced(t) else t.split(" ") for t in texts]
-        used: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                used.update(pieces[1:])
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(chr(self.letters[32]))]] = True
+        plain = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_word = plain and self.mark is not None and made["model"].get("type") == "BPE" and not made["model"].get("dropout") and not made["model"].get("unk_token")
+        if self.by_word:
+            bare = {**made, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "decoder": None, "added_tokens": []}
+            self.words = Tokenizer.from_str(json.dumps(bare))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, words: list[bytes]) -> None:
+        """words, none of them known, are encoded together: a token that begins with a space begins a word; words without one get a line feed between them."""
+        spaced = [w for w in words if w[0] == 32]
+        plain = [w for w in words if w[0] != 32 and b"\n" not in w]
+        odd = [w for w in words if w[0] != 32 and b"\n" in w]
+        ids, n = [], []
+        for group, mark in ((spaced, False), (plain, True)):
+            for at in range(0, len(group), 50_000):
+                part = group[at : at + 50_000]
+                # A space inside a word is its first byte, so what joins the words is no part of any of them.
+                joined = b"\n".join(part).decode("latin-1").translate({**self.letters, 10: f" {chr(self.letters[10])} " if mark else " "})
+                found = np.asarray(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                if mark:
+                    gap = np.nonzero(found == self.mark)[0]
+                    n.append(np.diff(np.concatenate([[-1], gap, [len(found)]])) - 1)
+                    found = np.delete(found, gap)
+                else:
+                    n.append(np.diff(np.append(np.nonzero(self.spaced[found])[0], len(found))))
+                ids.append(found)
+                if len(n[-1]) != len(part):
+                    raise ValueError("the tokenizer's words can't be told apart")
+        rest = self._whole([w.decode() for w in odd])
+        n.append(np.array([len(x) for x in rest], np.int64))
+        self.known.update(zip((*spaced, *plain, *odd), range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(n).astype(np.int64))])
+        self.ids = np.concatenate([self.ids, *ids, *rest])
+
+    def _by_word(self, data: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places = np.nonzero(starts)[0]
+        offsets = pa.py_buffer(np.append(places, len(data)).astype(np.int64))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > CACHED:
-            self.old, self.known = self.known, {}
-        new = used.difference(self.known)
-        again = new.intersection(self.old)
-        self.known.update((p, self.old[p]) for p in again)
-        self._learn([p for p in new.difference(again) if p])
-        if "" in new:
-            self.known[""] = self._encode([" "])[0]
-        heads = iter(self._encode([p[0] for p in cut if p]))
-        wholes = iter(self._encode([t for t, p in zip(texts, cut, strict=True) if t and not p]))
-        known = self.known.__getitem__
-        return [next(heads) + b"".join(map(known, p[1:])) if p else next(wholes) if t else b"" for t, p in zip(texts, cut, strict=True)]
+            self._forget()
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        first, n = self.at[slot], self.at[slot + 1] - self.at[slot]
+        total = np.concatenate([[0], np.cumsum(n)])
+        flat = self.ids[np.arange(total[-1]) + np.repeat(first - total[:-1], n)]
+        upto = total[np.searchsorted(places, ends)]
+        return flat, np.diff(upto, prepend=0)
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all texts, and how many each has; null texts are empty."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ends, counts = offsets[1:] - offsets[0], np.zeros(len(texts), np.int64)
+        starts, sure = cut(data, ends) if self.by_word and len(data) else (np.zeros(len(data), bool), np.zeros(len(texts), bool))
+        if sure.all():
+            return self._by_word(data, ends, starts)
+        size = np.diff(ends, prepend=0)
+        flat = np.zeros(0, np.uint32)
+        if sure.any():
+            inside = np.repeat(sure, size)
+            flat, counts[sure] = self._by_word(data[inside], np.cumsum(size[sure]), starts[inside])
+        whole = self._whole(texts.filter(pa.array(~sure)).to_pylist())
+        counts[~sure] = [len(x) for x in whole]
+        out, of_sure = np.empty(int(counts.sum()), np.uint32), np.repeat(sure, counts)
+        out[of_sure] = flat
+        out[~of_sure] = np.concatenate([np.zeros(0, np.uint32), *whole])
+        return out, counts
 
-
-_PAIRS = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
-_SPACED = re.compile(r"\s ")
-
-
-def _spaced(text: str) -> bool:
-    """Whether white space stands before a space."""
-    return any(p in text for p in _PAIRS) or not text.isascii() and bool(_SPACED.search(text))
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        ids, counts = self.arrays(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(texts) else []
 
 
-def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """Bounds of n ranges of doc_id with about as many rows each; only the ids are read."""
-    at = [k / n for k in range(1, n)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), 10 * n)).first()[0] if at else []
-    return sorted(set(found or []))
+@functools.lru_cache(maxsize=1)
+def _encoder(spec: str) -> Encoder:
+    """One for a worker, whichever tasks it runs."""
+    return Encoder(spec)
 
 
-def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Encode every text, end_id after it, and write the store in ascending id order.
+def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, range_bytes: int = RANGE_BYTES) -> None:
+    """Encode every text, end_id after it, and write the store in ascending id order, one file for each range.
 
     Null and empty texts are the end id alone.  Null ids come first; rows that
-    repeat an id stand in the order of their texts; an empty table makes an
-    empty store; other columns are not stored.
+    repeat an id stand in the order of their texts' hashes; an empty table makes
+    an empty store; other columns are not stored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     spec = spark.sparkContext.broadcast(Path(tokenizer or default_tokenizer()).read_text())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        gc.disable()  # nothing here makes cycles, and every batch makes many objects
-        encode, place, last = Encoder(spec.value), 0, None
-        for b in batches:
-            coded = [c + end for c in encode(b.column(1).to_pylist())]
-            n = np.array([len(c) // 4 for c in coded], np.int64)
-            shard, ends = b.column(2).to_numpy(), np.cumsum(n)
-            place = place if len(shard) and shard[0] == last else 0
+        encode, place, last = _encoder(spec.value), 0, None
+        for b in slices(batches, 8000, 16 << 20):
+            ids, n = encode.arrays(b.column(1))
+            shard = b.column(2).to_numpy()
+            place = place if shard[0] == last else 0
+            n, ends = n + 1, np.cumsum(n + 1)
+            flat = np.full(int(ends[-1]), end_id, np.int32)
+            inside = np.ones(len(flat), bool)
+            inside[ends - 1] = False
+            flat[inside] = ids.view(np.int32)
             first = np.nonzero(np.diff(shard))[0] + 1
             begin = np.repeat(np.concatenate([[-place], ends[first - 1]]), np.diff(np.concatenate([[0], first, [len(n)]])))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(ends - n - begin), pa.array(n), ids],
-                names=["doc_id", "shard", "place", "n_tokens", "ids"],
-            )
-            if len(n):
-                place, last = int(ends[-1] - begin[-1]), shard[-1]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ends - n - begin), pa.array(n), lists], names=["doc_id", "shard", "place", "n_tokens", "ids"])
+            place, last = int(ends[-1] - begin[-1]), shard[-1]
 
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _ranges(two, n)
-    before = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id"))) if bounds else F.lit(0)
-    two = two.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(before))
-    placed = two.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    total = two.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ranged = two.repartitionByRange(max(1, -(-total // range_bytes)), *order[:2]).sortWithinPartitions(*order)
+    placed = ranged.withColumn("shard", F.spark_partition_id())
     placed.mapInArrow(run, STORE).write.options(**LAYOUT).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): start is the number of ids before the document in the whole store."""
+    """(doc_id, start, n_tokens, ids): start is the number of ids before the document in the whole store.
+
+    Columns that aren't used and row groups and pages whose doc_id can't match a
+    filter aren't read.
+    """
     store = spark.read.schema(STORE).parquet(path)
     ends = store.groupBy("shard").agg(F.max(F.col("place") + F.col("n_tokens")).alias("size"))
     starts = ends.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("offset"))
-    joined = store.join(F.broadcast(starts), "shard")  # a row for each range, of which there are as many as shuffle partitions
+    joined = store.join(F.broadcast(starts), "shard")  # a row for each range: a millionth of the texts' bytes
     return joined.select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
+def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of some documents, by their row groups' and pages' ranges of doc_id."""
+    return spark.read.schema(STORE).parquet(path).where(F.col("doc_id").isin(*ids)).select("doc_id", "n_tokens", "ids")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, n_tokens) of all documents; no token is read."""
+    return spark.read.schema(STORE).parquet(path).select("doc_id", "n_tokens")
+
+
 def checksums(stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of a read store, over the little-endian bytes of each list of ids."""
 
@@ -178,10 +297,9 @@ def checksums(stored: DataFrame) -> DataFrame:
             ids = b.column(3)
             ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
             at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
-            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+            crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small_batches(stored.sparkSession)
     return stored.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -25,9 +25,8 @@ def plain_contamination(docs, items):
     for item, text in items:
         w = WORD.findall((text or "").translate(LOWER))
         n = min(13, len(w))
-        if item is not None and n:
-            for i in range(len(w) - n + 1):
-                grams[tuple(w[i : i + n])].add(str(item))
+        for i in range(len(w) - n + 1) if n else []:
+            grams[tuple(w[i : i + n])].add(None if item is None else str(item))
     out = []
     for i, text in docs:
         w = WORD.findall((text or "").translate(LOWER))
@@ -37,7 +36,7 @@ def plain_contamination(docs, items):
                 if tuple(w[k : k + n]) in grams:
                     hit.update(range(k, k + n))
                     found |= grams[tuple(w[k : k + n])]
-        out.append((i, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((i, len(w), len(hit), sorted(found, key=lambda x: (x is None, x)), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
 
 
@@ -46,18 +45,31 @@ def test_contamination(spark, block):
     df = frame(spark)
     rng, docs = random.Random(5), [t for t in texts() if t and len(t.split()) > 15]
     items = [(k, " ".join(rng.choice(docs).split()[j : j + n])) for k, (j, n) in enumerate([(0, 13), (3, 20), (5, 4), (1, 1), (2, 12), (0, 30), (4, 13), (6, 2)])]
-    items += [(100, "nowhere to be found"), (101, ""), (102, None), (None, "the of and"), (103, items[1][1]), (104, "a " * 40), (105, "a b " * 10), (7, items[0][1].upper())]
+    items += [(100, "nowhere to be found"), (101, ""), (102, None), (None, "the of and"), (None, "the the THE"), (103, items[1][1]), (104, "a " * 40), (105, "a b " * 10), (7, items[0][1].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
     got = decontam.with_verdict(decontam.contamination(df, bench, block_words=block)).collect()
     want = plain_contamination(rows_of(df), items)
     assert sorted(((r.row_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=str) == want
-    assert sum(r[4] for r in want) > 3
+    assert sum(r[4] for r in want) > 3 and any(None in r[3] for r in want)
+
+
+def test_many_blocks_are_held_one_at_a_time(spark):
+    words = [f"w{k}" for k in range(900)]
+    items = [(None if k % 9 == 4 else k, " ".join(words[k * 30 : k * 30 + 30])) for k in range(30)]
+    df = frame(spark, [(k, f"x y {t} z") for k, (_, t) in enumerate(items)] + [(90, "x y z")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.row_id: (r.n_hit, list(r["items"])) for r in decontam.with_verdict(decontam.contamination(df, bench, block_words=60)).collect()}
+    assert got == {k: (30, [None if i is None else str(i)]) for k, (i, _) in enumerate(items)} | {90: (0, [])}
+    blocks = decontam.blocks_of(bench, "item_id", "text", 60)
+    assert 30 > len(next(blocks)) and sum(map(len, blocks)) < 30
+    clean = decontam.decontaminate(df.withColumn("spans", F.lit("mine")), bench, block_words=60)
+    assert clean.columns == [*df.columns, "spans"] and [(r.doc_id, r.spans) for r in clean.collect()] == [(90, "mine")]
 
 
 def test_spans_are_cut_and_empty_benchmarks_hit_nothing(spark):
     df = frame(spark, [(1, "Alpha, beta gamma! delta tail " + "x " * 200), (2, None), (3, "beta gamma delta")])
     bench = spark.createDataFrame([(1, "beta GAMMA delta")], "item_id long, text string")
-    got = {r.row_id: r.text for r in decontam.decontaminate(df, bench, min_span=3).collect()}
+    got = {r.doc_id: r.text for r in decontam.decontaminate(df, bench, min_span=3).collect()}
     assert got == {1: "Alpha,  tail " + "x " * 200, 2: None}
     assert decontam.decontaminate(df, bench.where("false")).count() == 3
     assert decontam.contamination(frame(spark, []), bench).count() == 0
@@ -230,6 +242,36 @@ def test_forward_backward_is_exact():
     assert toxicity.forward_backward(s, np.array([4]), moves, start)[:, 0] == pytest.approx(want)
 
 
+def test_pair_marginals_are_the_gradient_of_the_chains_normaliser():
+    rng = np.random.default_rng(1)
+    n, moves, start = np.array([5, 3, 1]), rng.normal(size=(2, 2)), -0.2
+    s = np.where(np.arange(5)[:, None] < n, rng.normal(size=(5, 3)), 0)
+
+    def normaliser(m):
+        total = 0.0
+        for k in range(3):
+            z = 0.0
+            for bits in range(1 << n[k]):
+                y = [bits >> t & 1 for t in range(n[k])]
+                z += np.exp(start * y[0] + sum(s[t, k] * y[t] for t in range(n[k])) + sum(m[y[t], y[t + 1]] for t in range(n[k] - 1)))
+            total += np.log(z)
+        return total
+
+    got = toxicity.pair_sums(s, n, moves, *toxicity.messages(s, n, moves, start))
+    for i in (0, 1):
+        for j in (0, 1):
+            step = np.zeros((2, 2))
+            step[i, j] = 1e-5
+            assert got[i, j] == pytest.approx((normaliser(moves + step) - normaliser(moves - step)) / 2e-5, abs=1e-6)
+    assert got.sum() == pytest.approx(6)
+
+
+def test_toxicity_of_an_empty_table(spark):
+    empty = frame(spark, [])
+    field = toxicity.fit(toxicity.training_rows(empty, spark.createDataFrame([], "doc_id long, toxic int")))
+    assert toxicity.tag(empty, field).count() == 0
+
+
 def test_planted_words_are_found(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
