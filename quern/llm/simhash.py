@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, broadcast_if, materialise, slices
+from ._common import SPACE, broadcast_if, fresh, materialise, slices
 from .components import connected_components
 
 SEGMENTS, WIDTH = 16, 4
@@ -104,10 +104,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 
 
-#: Classes that share a prefix shingle are broadcast up to so many.
-MET_LIMIT = 1_000_000
-#: Bits of the parity sketches.
-SKETCH = 1024
+#: Classes whose shingles are to be compared, and rows that stay, are broadcast up to so many.
+BROADCAST_ROWS = 1_000_000
+#: Wide fingerprints of a set's shingles have 128 bits; smaller sets than this have none that means anything.
+LEAST_SET = 64
 #: Shingles in more than this share of a task's texts, and in so many at least, go last in the order of prefixes.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 0.002, 8, 1 << 18
 
@@ -160,42 +160,24 @@ def prefix(hashes: np.ndarray, common: np.ndarray, num: int, den: int) -> np.nda
     return np.concatenate([hashes[~last], hashes[last]])[: n - -(-num * n // den) + 1]
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """SKETCH bits, each the parity of the hashes that fall on it: two sketches differ in no more bits than the sets in members."""
-    at = ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SKETCH
-    return np.packbits(np.bincount(at, minlength=SKETCH) & 1).tobytes()
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 SimHash bits of a set of hashes, as two signed longs."""
+    h = hashes.view(np.uint64)
+    both = np.stack([h, (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)], 1)
+    ones = np.unpackbits(np.ascontiguousarray(both).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist())
 
 
-def _edges(pairs: DataFrame, sets: DataFrame, num: int, den: int, one_each: bool = False) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity: sizes and parity sketches rule out, the whole sets decide.
+def most_bits(similarity: float) -> int:
+    """The bits in which the wide fingerprints of sets of this similarity may differ: the expected number and five and a half standard errors."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(128 * share + 5.5 * np.sqrt(128 * share * (1 - share)))
 
-    With one_each, of the pairs that aren't ruled out only the first of each b is decided.
-    """
-
-    def near(batches):
-        for b in batches:
-            n, m = (b.column(i).to_numpy() for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            ok = pa.array((apart * (den + num) <= (n + m) * (den - num)) & (np.minimum(n, m) * den >= np.maximum(n, m) * num))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    def exact(batches):
-        for b in batches:
-            x, y = (b.column(i).to_pylist() for i in (2, 3))
-            ok = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both * den >= (len(p) + len(q) - both) * num)
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    side = lambda n, *c: sets.select(F.col("cls").alias(n), *[F.col(x).alias(f"{x}_{n}") for x in c])
-    left = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
-    if one_each:
-        left = left.groupBy("b").agg(F.min("a").alias("a"))
-    return left.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
+def _may_link(x: str, y: str, num: int, den: int, bits: int) -> Column:
+    """Whether sizes and wide fingerprints of two structs (cls, n, f0, f1) allow the similarity."""
+    return F.expr(f"""{x}.cls != {y}.cls AND least({x}.n, {y}.n) * {den} >= greatest({x}.n, {y}.n) * {num}
+        AND (least({x}.n, {y}.n) < {LEAST_SET} OR bit_count({x}.f0 ^ {y}.f0) + bit_count({x}.f1 ^ {y}.f1) <= {bits})""")
 
 
 def _class_of(text: str) -> Column:
@@ -215,7 +197,7 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
             often = c >= max(COMMON_LEAST, COMMON_SHARE * n)
             return pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(c[often])], names=["hash", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in dict.fromkeys(b.column(0).cast(pa.binary()).to_pylist()):
                 total.append(shingle_set(t or b"", shingle))
                 held, n = held + len(total[-1]), n + 1
@@ -229,75 +211,102 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.hash for r in found.orderBy(F.desc("n"), "hash").limit(COMMON_MOST).select("hash").collect()], np.int64))
 
 
+def _exact(num: int, den: int):
+    def run(batches):
+        for b in batches:
+            ok = []
+            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both * den >= (len(p) + len(q) - both) * num)
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    return run
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, cls, component_id, root) for every row: the smallest id among the rows reachable over pairs of the given similarity of shingles or more.
 
     The similarity is the exact Jaccard index of the sets of 64-bit shingle
     hashes.  Two sets that have it share a shingle of their prefixes, whatever
     the order is, so every such pair meets: common shingles come last, the others
-    in the order of their hashes.  Where sets share a shingle of their prefixes,
-    all meet the first and the last one and each is linked to one of those it
-    resembles, then all meet the one that has most links; in what isn't yet connected after that all pairs of different
-    components meet.  Rows of equal texts are one class; root names the component.
+    in the order of their hashes.  Those that meet are told apart by their sizes
+    and wide fingerprints, and what is left by the sets themselves.  Where sets
+    share a shingle of their prefixes, all meet the first and the last one and
+    each is compared with one of those it may resemble, then all meet the one
+    that has most links; in what isn't connected after that all pairs of
+    different components meet.  Rows of equal texts are one class; root names the
+    component.
     """
     spark = df.sparkSession
     num, den = ratio_of(similarity)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), _class_of(text_col).alias("cls"))
-    texts = df.select(_class_of(text_col).alias("cls"), F.col(text_col).cast("string").alias("text"))
+    bits = most_bits(similarity)
+    texts = df.select(_class_of(text_col).alias("cls"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.select("id", "cls")
     common = spark.sparkContext.broadcast(_common(texts, shingle))
 
     def keys(batches):
-        for b in batches:
-            classes, held, of, seen = b.column(0).to_pylist(), [], [], set()
-            for c, t in zip(classes, b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if c not in seen:
-                    seen.add(c)
-                    held.append(prefix(shingle_set(t or b"", shingle), common.value, num, den))
-                    of.append(np.full(len(held[-1]), c, np.int64))
+        for b in slices(batches):
+            held, of, facts, seen = [], [], [], set()
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if c in seen:
+                    continue
+                seen.add(c)
+                hashes = shingle_set(t or b"", shingle)
+                if len(hashes):
+                    held.append(prefix(hashes, common.value, num, den))
+                    of.append(len(held[-1]))
+                    facts.append((c, len(hashes), *wide_fingerprint(hashes)))
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(of))], names=["key", "cls"])
+                each = np.repeat(np.array(facts, np.int64), of, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), *(pa.array(np.ascontiguousarray(each[:, k])) for k in range(4))], names=["key", "cls", "n", "f0", "f1"])
 
     def sets_of(batches):
-        for b in batches:
-            found = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([parity(h) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())],
-                names=["cls", "n", "sketch", "hashes"],
-            )
+        for b in slices(batches):
+            found = [shingle_set(t or b"", shingle).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["cls", "hashes"])
 
-    emitted = texts.mapInArrow(keys, "key long, cls long")
+    own = F.struct("cls", "n", "f0", "f1")
     of_key = Window.partitionBy("key")
-    ends = emitted.withColumns({"lo": F.min("cls").over(of_key), "hi": F.max("cls").over(of_key)}).where("lo != hi")
-    members = materialise(ends.distinct(), "members")
-    met = materialise(members.select("cls").distinct(), "met")
-    held = texts.join(broadcast_if(met, met.count(), MET_LIMIT), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
-    sets = materialise(held.mapInArrow(sets_of, "cls long, n long, sketch binary, hashes binary"), "sets")
+    emitted = texts.select("cls", "text").mapInArrow(keys, "key long, cls long, n long, f0 long, f1 long").select("key", own.alias("own"))
+    ends = emitted.withColumns({"lo": F.min("own").over(of_key), "hi": F.max("own").over(of_key)}).where("lo.cls != hi.cls")
+    members = materialise(ends, "members")
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.where("cls != end").select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()
+        return pairs.select(F.least("own.cls", "end.cls").alias("a"), F.greatest("own.cls", "end.cls").alias("b")).distinct()
 
     def link(pairs: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        new = _edges(pairs, sets, num, den, before is None)
+        """The edges among the pairs, those of before added, and the components' roots."""
+        if before is None:
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = materialise(pairs, "pairs")
+        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
+        wanted = texts.join(broadcast_if(asked, asked.count(), BROADCAST_ROWS), "cls", "left_semi").select("cls", "text").mapInArrow(sets_of, "cls long, hashes binary")
+        sets = materialise(wanted.dropDuplicates(["cls"]), "sets")
+        side = lambda n: sets.select(F.col("cls").alias(n), F.col("hashes").alias(f"hashes_{n}"))
+        new = side("a").join(broadcast_if(pairs, pairs.count(), BROADCAST_ROWS), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_exact(num, den), "a long, b long")
         edges = materialise(new if before is None else before.unionByName(new), "edges")
         roots = connected_components(edges, "a", "b").select(F.col("node").alias("cls"), "root")
         return edges, materialise(roots, "roots")
 
     def open_members(roots: DataFrame) -> DataFrame:
         """The members of the keys that still hold several components."""
-        named = members.select("key", "cls").join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-        several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-        return materialise(named.join(several, "key"), "open")
+        named = members.select("key", "own", F.col("own.cls").alias("cls")).join(roots, "cls", "left").select("key", "own", F.coalesce("root", "cls").alias("root"))
+        ranged = named.withColumns({"x": F.min("root").over(of_key), "y": F.max("root").over(of_key)}).where("x != y")
+        return materialise(ranged.select("key", "own", "root"), "open")
 
-    edges, roots = link(ordered(members.select("cls", F.explode(F.array("lo", "hi")).alias("end"))))
+    may = _may_link("own", "end", num, den, bits)
+    edges, roots = link(ordered(members.select("own", F.explode(F.array("lo", "hi")).alias("end")).where(may)))
     left = open_members(roots)
     if not left.isEmpty():
         degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-        hubs = left.join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("most")).select("key", F.col("most.cls").alias("end"))
-        edges, roots = link(ordered(left.join(hubs, "key").select("cls", "end")), edges)
+        hubs = left.withColumn("cls", F.col("own.cls")).join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "own")).alias("most")).select("key", F.col("most.own").alias("end"))
+        edges, roots = link(ordered(left.join(hubs, "key").where(may)), edges)
         left = open_members(roots)
     if not left.isEmpty():
-        other = left.select("key", F.col("cls").alias("end"), F.col("root").alias("other"))
-        _, roots = link(ordered(left.join(other, "key").where("root < other").select("cls", "end")), edges)
+        other = left.select("key", F.col("own").alias("end"), F.col("root").alias("other"))
+        _, roots = link(ordered(left.join(other, "key").where((F.col("root") < F.col("other")) & may)), edges)
 
     classes = rows.groupBy("cls").agg(F.min("id").alias("first"))
     grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
@@ -313,13 +322,17 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     id are judged each for itself; a row without id stays only if its group has
     no id; null, empty and blank texts are one group; an empty table gives no rows.
     """
+    row_id, row_cls = fresh("id"), fresh("cls")
     found = similar_groups(df, id_col, text_col, shingle, similarity).groupBy("root", "id", "cls").agg(F.count("*").alias("n"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "cls", "n")).alias("x"))
-    stay = materialise(first.select(F.col("x.id").alias("_stay_id"), F.col("x.cls").alias("_stay_cls"), F.col("x.n").alias("_stay_n")), "stay")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (_class_of(text_col) == F.col("_stay_cls"))
-    kept = df.join(stay.where("_stay_n = 1"), same, "left_semi")
-    repeated = stay.where("_stay_n > 1")
-    if not repeated.limit(1).count():
+    stay = materialise(first.select(F.col("x.id").alias(row_id), F.col("x.cls").alias(row_cls), "x.n"), "stay")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(row_id)) & (_class_of(text_col) == F.col(row_cls))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return df.join(broadcast_if(chosen.drop("n"), chosen.count(), BROADCAST_ROWS), same, "left_semi")
+
+    repeated = stay.where("n > 1")
+    kept = of(stay.where("n = 1"))
+    if repeated.isEmpty():
         return kept
-    once = df.join(repeated, same, "left_semi").withColumn("_stay_cls", _class_of(text_col)).dropDuplicates([id_col, "_stay_cls"]).drop("_stay_cls")
-    return kept.unionByName(once)
+    return kept.unionByName(of(repeated).withColumn(row_cls, _class_of(text_col)).dropDuplicates([id_col, row_cls]).drop(row_cls))
