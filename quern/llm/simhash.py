@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, broadcast_if, fresh, materialise, slices
+from ._common import SPACE, Scratch, broadcast_if, fresh, materialise, slices
 from .components import connected_components
 
 SEGMENTS, WIDTH = 16, 4
@@ -240,6 +240,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark)
     num, den = ratio_of(similarity)
     bits = most_bits(similarity)
     texts = df.select(_class_of(text_col).alias("cls"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -271,7 +272,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_key = Window.partitionBy("key")
     emitted = texts.select("cls", "text").mapInArrow(keys, "key long, cls long, n long, f0 long, f1 long").select("key", own.alias("own"))
     ends = emitted.withColumns({"lo": F.min("own").over(of_key), "hi": F.max("own").over(of_key)}).where("lo.cls != hi.cls")
-    members = materialise(ends, "members")
+    members = scratch.table(ends, "members")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("own.cls", "end.cls").alias("a"), F.greatest("own.cls", "end.cls").alias("b")).distinct()
@@ -280,21 +281,23 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """The edges among the pairs, those of before added, and the components' roots."""
         if before is None:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        pairs = materialise(pairs, "pairs")
-        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
+        own_scratch = Scratch(spark)
+        pairs = own_scratch.table(pairs, "pairs")
+        asked = own_scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
         wanted = texts.join(broadcast_if(asked, asked.count(), BROADCAST_ROWS), "cls", "left_semi").select("cls", "text").mapInArrow(sets_of, "cls long, hashes binary")
-        sets = materialise(wanted.dropDuplicates(["cls"]), "sets")
+        sets = own_scratch.table(wanted.dropDuplicates(["cls"]), "sets")
         side = lambda n: sets.select(F.col("cls").alias(n), F.col("hashes").alias(f"hashes_{n}"))
         new = side("a").join(broadcast_if(pairs, pairs.count(), BROADCAST_ROWS), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_exact(num, den), "a long, b long")
-        edges = materialise(new if before is None else before.unionByName(new), "edges")
+        edges = scratch.table(new if before is None else before.unionByName(new), "edges")
+        own_scratch.clear()
         roots = connected_components(edges, "a", "b").select(F.col("node").alias("cls"), "root")
-        return edges, materialise(roots, "roots")
+        return edges, scratch.table(roots, "roots")
 
     def open_members(roots: DataFrame) -> DataFrame:
         """The members of the keys that still hold several components."""
         named = members.select("key", "own", F.col("own.cls").alias("cls")).join(roots, "cls", "left").select("key", "own", F.coalesce("root", "cls").alias("root"))
         ranged = named.withColumns({"x": F.min("root").over(of_key), "y": F.max("root").over(of_key)}).where("x != y")
-        return materialise(ranged.select("key", "own", "root"), "open")
+        return scratch.table(ranged.select("key", "own", "root"), "open")
 
     may = _may_link("own", "end", num, den, bits)
     edges, roots = link(ordered(members.select("own", F.explode(F.array("lo", "hi")).alias("end")).where(may)))
@@ -312,6 +315,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = materialise(grouped.join(named, "root").select("cls", "root", "component_id"), "labels")
+    scratch.clear()
     return rows.join(labels, "cls").select("id", "cls", "component_id", "root")
 
 
