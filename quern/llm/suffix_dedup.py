@@ -123,7 +123,8 @@ def batch_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     if not docs:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64)
     d, p, h = np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
-    order = np.lexsort((p, d, h))
+    in_place = ((d[1:] > d[:-1]) | (d[1:] == d[:-1]) & (p[1:] > p[:-1])).all()  # but for texts of several pieces
+    order = np.argsort(h, kind="stable") if in_place else np.lexsort((p, d, h))
     d, p, h = d[order], p[order], h[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])])[: len(d)]
     return d[new], p[new], h[new]
@@ -232,13 +233,15 @@ def _segments(n_buckets: int, length: int, gram: int):
     return run
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of data in the order of their first depth bytes at least; where these are equal, in any.
 
     Suffixes smaller than their successors are sorted directly.  A greater one
     stands, within the bucket of its first byte, before those and in the order
     of its successors: scanning the buckets upwards, each finished bucket hands
-    its predecessors on; a run of one byte follows wave by wave.
+    its predecessors on; a run of one byte follows wave by wave.  With wanted,
+    the result holds these suffixes and some others: a smaller one that isn't
+    wanted is sorted only if a wanted one is induced from it.
     """
     n = len(data)
     if n == 0:
@@ -250,10 +253,14 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     smaller[: n - 1] = np.where(nearest < n, step[np.minimum(nearest, n - 2)] > 0, False) if n > 1 else False
     words = _words(data, depth)
     s = np.nonzero(smaller)[0]
+    if wanted is not None and len(s):
+        upto = np.concatenate([[0], np.cumsum(wanted)])
+        s = s[upto[s + 1] > upto[np.concatenate([[0], s[:-1] + 1])]]  # some wanted one lies at it or between it and the smaller one before
     s = s[np.lexsort([words[s + 8 * q] for q in range(-(-depth // 8) - 1, -1, -1)])] if len(s) else s
     s_of = np.searchsorted(data[s], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[n - 1]].append(np.array([n - 1]))
+    if wanted is None or not len(s) or wanted[s[-1] + 1 :].any():
+        waiting[data[n - 1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         wave = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
@@ -275,7 +282,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         cut = np.nonzero(np.diff(heads))[0] + 1
         for part in np.split(before, cut) if len(before) else []:
             waiting[data[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _words(data: np.ndarray, depth: int) -> np.ndarray:
@@ -294,8 +301,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     out, alive = np.zeros(len(a), np.int64), np.arange(len(a))
     for q in range(0, depth, 8):
         x = words[a[alive] + q] ^ words[b[alive] + q]
-        for k in range(8):
-            out[alive] += (x >> np.uint64(8 * (7 - k))) == 0
+        same = (x == 0).astype(np.int64)
+        for k in range(1, 8):
+            same += x < np.uint64(1 << 8 * k)
+        out[alive] += same
         alive = alive[x == 0]
     return np.minimum(out, depth)
 
@@ -335,13 +344,14 @@ def repeated_part(segments: list[bytes], owner: np.ndarray, length: int) -> tupl
     data = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes)
-    order = suffix_order(data, length)
-    run = np.concatenate([[0], np.cumsum(common_prefixes(data, order, length) < length)])
-    k = np.searchsorted(ends, order, side="right")
-    whole = order + length <= ends[k]
-    order, run, k = order[whole], run[whole], k[whole]
+    of = np.repeat(np.arange(len(segments)), sizes)
+    whole = np.arange(len(data)) + length <= ends[of]
+    order = suffix_order(data, length, whole)
+    order = order[whole[order]]
     if not len(order):
         return low, high
+    # Between two strings that are equal nothing else stands, so neighbours among the whole ones tell all.
+    run, k = np.concatenate([[0], np.cumsum(common_prefixes(data, order, length) < length)]), of[order]
     start = np.nonzero(np.concatenate([[True], run[1:] != run[:-1]]))[0]
     first = np.repeat(np.minimum.reduceat(owner[k], start), np.diff(np.concatenate([start, [len(run)]])))
     hit = owner[k] > first

@@ -52,3 +52,13 @@ def test_common_prefixes():
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_wanted_suffixes_are_in_order():
+    rng = np.random.default_rng(2)
+    for k in range(80):
+        data = rng.integers(0, 3 if k % 2 else 256, rng.integers(1, 200)).astype(np.uint8)
+        wanted = rng.random(len(data)) < (0.05, 0.3, 0.0)[k % 3]
+        order = suffix_dedup.suffix_order(data, 300, wanted)
+        b = data.tobytes()
+        assert order[wanted[order]].tolist() == sorted(np.nonzero(wanted)[0].tolist(), key=lambda i: b[i:])
