@@ -33,6 +33,10 @@ BYTES_PER_BUCKET = 8 << 20
 #: Bits of the filter that tells sets with candidates from others; a full filter costs time only.
 FILTER_BITS = 1 << 27
 BLOCK = 1024
+#: Words of more rows than so many blocks are not filtered but verified at once.
+FILTERED = 16
+#: Rows that are verified in one task's go; the rows of a word stay together.
+ROWS_PER_BUCKET = 20_000
 PAIRS = 4_000_000
 LAST = (1 << 63) - 1
 
@@ -42,6 +46,11 @@ def line_words(text: bytes | None) -> list[list[bytes]]:
     return [line.split() for line in (text or b"").lower().split(b"\n")]
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 class Sets:
     """The word sets of a batch's lines: flat word hashes by line, each line's in rarity order; sig 0 stands for a line without words.
 
@@ -72,9 +81,7 @@ class Sets:
         self.words = hashes[order][both % max(1, len(order))] if len(both) else np.zeros(0, np.uint64)
         self.size = np.bincount(line, minlength=len(self.doc))
         self.end = np.cumsum(self.size)
-        mixed = (self.words ^ (self.words >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        self.mixed = mixed
+        self.mixed = mixed = _mix(self.words)
         sig = self._sums(mixed) + self.size.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
         self.sig = np.where(self.size > 0, sig | np.uint64(1), np.uint64(0)).view(np.int64)
 
@@ -94,26 +101,36 @@ def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (n + m) - 1e-9)
 
 
-def _count(batches):
+LINES = "id long, line long, sig long, chunk int, counts binary"
+
+
+def _lines(batches):
+    """A row for each line, and one for each chunk of the task's counters: in how many lines the words of each occur."""
     total = np.zeros(COUNTERS, np.int64)
+    nulls = lambda n, kind: pa.nulls(n, kind)
     for b in slices(batches):
         sets = Sets(b.column(0), None)
         total += np.bincount((sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    chunks = [total[i : i + CHUNK].astype("<i8").tobytes() for i in range(0, COUNTERS, CHUNK)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
+        n = len(sets.doc)
+        yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(sets.doc)), pa.array(sets.number), pa.array(sets.sig), nulls(n, pa.int32()), nulls(n, pa.binary())], names=["id", "line", "sig", "chunk", "counts"])
+    chunks = [(i // CHUNK, total[i : i + CHUNK]) for i in range(0, COUNTERS, CHUNK) if total[i : i + CHUNK].any()]
+    n = len(chunks)
+    yield pa.RecordBatch.from_arrays(
+        [*(nulls(n, pa.int64()) for _ in range(3)), pa.array([k for k, _ in chunks], pa.int32()), pa.array([c.astype("<u4").tobytes() for _, c in chunks], pa.binary())], names=["id", "line", "sig", "chunk", "counts"]
+    )
 
 
 def _add(table):
-    total = sum(np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist())
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    total = sum(np.frombuffer(c, "<u4").astype(np.uint64) for c in table.column("counts").to_pylist())
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """The fixed table of counters: in how many lines the words of each occur."""
-    chunks = texts.select("text").mapInArrow(_count, "chunk int, counts binary").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
+def word_counts(held: DataFrame) -> np.ndarray:
+    """The fixed table of counters, from the chunks that stand beside the lines; a chunk's sum stops at the largest 32-bit number."""
+    chunks = held.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
     out = np.zeros(COUNTERS, np.int64)
     for r in chunks:
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<i8")
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<u4")
     return out
 
 
@@ -153,7 +170,7 @@ def _candidates(t: float):
             longs = (np.frombuffer(body, t, m, 8 * k * m) for k, t in enumerate(("<u8", "<i8", "<u8", "<u8")))
             parts.append((*longs, *(np.frombuffer(body, "<u4", m, at * m).astype(np.int64) for at in (32, 36))))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort((columns[1], columns[0]))
+        order = np.lexsort((columns[1], columns[4], columns[0]))
         word, sig, sketch, before, n, place = (x[order] for x in columns)
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])
@@ -164,39 +181,50 @@ def _candidates(t: float):
     return run
 
 
+def windows(word: np.ndarray, n: np.ndarray, t: float, at_most: int | None = None):
+    """Pairs of rows of the same word, about PAIRS at a time, whose sizes allow the similarity.
+
+    Rows are sorted by word and size, so that a row's partners follow it; words
+    of more than at_most rows are left out.
+    """
+    new = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
+    group = np.cumsum(new) - 1
+    span = int(n.max(initial=0)) + 2
+    place = group * span + n
+    upto = np.searchsorted(place, group * span + np.minimum(np.floor(n / t + 1e-9).astype(np.int64), span - 1), side="right")
+    many = np.maximum(upto - np.arange(len(word)) - 1, 0)
+    if at_most is not None:
+        many[np.bincount(group)[group] > at_most] = 0
+    total = np.cumsum(many)
+    at = 0
+    while at < len(many):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        left = np.repeat(np.arange(at, end), many[at:end])
+        right = left + 1 + np.arange(len(left)) - np.repeat(total[at:end] - many[at:end] - (total[at - 1] if at else 0), many[at:end])
+        if len(left):
+            yield left, right
+        at = end
+
+
 def with_partner(word: np.ndarray, sketch: np.ndarray, before: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
-    """Which rows, sorted by word, have a row of the same word that passes the length and positional filters with them, and whose sketch is near enough.
+    """Which rows, sorted by word and size, have a row of the same word that passes the length and positional filters with them, and whose sketch is near enough.
 
     Rows that share the word before, too, meet in the group of an earlier word, so they don't count here.
     """
     start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0] if len(word) else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [len(word)]]))
-    hit = np.repeat(size > BLOCK, size)  # large groups go on whole: verification is the exact way for them
-    small = (size > 1) & (size <= BLOCK)
-    start, size = start[small], size[small]
-    bounds = np.searchsorted(np.cumsum(size**2), np.arange(0, int((size**2).sum()) + PAIRS, PAIRS)) if len(size) else []
-    for at, end in zip(bounds, [*bounds[1:], len(start)], strict=True) if len(size) else []:
-        s, m = start[at:end], size[at:end]
-        row, column = _squares(m)
-        left, right = np.repeat(s, m * m) + row, np.repeat(s, m * m) + column
-        near = (row < column) & ((before[left] != before[right]) | (before[left] == 0))
-        left, right = left[near], right[near]
+    hit = np.repeat(size > FILTERED * BLOCK, size)  # very large groups go on whole: verification is the exact way for them
+    for left, right in windows(word, n, t, FILTERED * BLOCK):
+        apart = np.bitwise_count(sketch[left] ^ sketch[right])
         a, b = n[left], n[right]
         need = _needed(a, b, t)
-        ok = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - place[left], b - place[right]) >= need)
-        ok &= np.bitwise_count(sketch[left] ^ sketch[right]) <= a + b - 2 * need
+        ok = (apart <= a + b - 2 * need) & (np.minimum(a - place[left], b - place[right]) >= need)
+        ok &= (before[left] != before[right]) | (before[left] == 0)
         hit[left[ok]] = True
         hit[right[ok]] = True
     return hit
 
 
-def _squares(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of squares of sides m, laid end to end."""
-    side = np.repeat(m, m * m)
-    k = np.arange(len(side)) - np.repeat(np.cumsum(m * m) - m * m, m * m)
-    return k // side, k % side
-
-
 def _contents(counts, wanted):
     """(sig, id, line, words) of the batch's different sets that may have candidates; the words' bytes are in rarity order."""
 
@@ -218,17 +246,68 @@ def _contents(counts, wanted):
 
 
 def _verify(t: float):
-    def run(key, table):
-        word = np.uint64(key[0].as_py() & 0xFFFFFFFFFFFFFFFF)
+    """The links of a bucket of words: pair by pair in small groups, block by block in large ones."""
+
+    def run(table):
         sets = [np.frombuffer(w, "<u8") for w in table.column("words").to_pylist()]
-        ids, lines = table.column("id").to_numpy(), table.column("line").to_numpy()
-        links, best = similar(sets, word, np.lexsort((lines, ids)), t)
+        word = table.column("word").to_numpy().view(np.uint64)
+        n = np.array([len(x) for x in sets], np.int64)
+        order = np.lexsort((n, word))
+        sets, word, n = [sets[k] for k in order], word[order], n[order]
+        sig, ids, lines = (table.column(c).to_numpy()[order] for c in ("sig", "id", "line"))
+        by_place = np.lexsort((lines, ids))
+        rank = np.empty(len(sets), np.int64)
+        rank[by_place] = np.arange(len(sets))
+        links, first = small_groups(sets, word, n, rank, t)
+        start = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
+        for i, j in zip(start, [*start[1:], len(word)], strict=True):
+            if j - i > BLOCK:
+                links[i:j], best = similar(sets[i:j], word[i], np.argsort(rank[i:j]), t)
+                first[i:j] = np.where(links[i:j] > 0, rank[i + best], len(sets))
         hit = links > 0
-        return pa.table({"sig": table.column("sig").to_numpy()[hit], "links": links[hit], "id": ids[best[hit]], "line": lines[best[hit]]})
+        near = by_place[first[hit]]
+        return pa.table({"sig": sig[hit], "links": links[hit], "id": ids[near], "line": lines[near]})
 
     return run
 
 
+def small_groups(sets: list[np.ndarray], word: np.ndarray, n: np.ndarray, rank: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, sorted by word and size, the number of similar ones whose first common word with it is its word, and the least rank of them."""
+    links, first = np.zeros(len(sets), np.int64), np.full(len(sets), len(sets))
+    words = np.concatenate([np.zeros(0, np.uint64), *sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+    before = np.zeros(len(sets), np.int64)
+    own = words == word[row]
+    before[row[own]] = place[own]
+    kinds, code = np.unique(words, return_inverse=True)
+    span = max(1, len(kinds))
+    key = row * span + code
+    order = np.argsort(key)
+    key, place_of = key[order], place[order]
+    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(words) >> np.uint64(58)), np.cumsum(n) - n) if len(words) else np.zeros(len(sets), np.uint64)
+    begin = np.cumsum(n) - n
+    for left, right in windows(word, n, t, BLOCK):
+        need = _needed(n[left], n[right], t)
+        near = np.bitwise_count(sketch[left] ^ sketch[right]) <= n[left] + n[right] - 2 * need
+        left, right, need = left[near], right[near], need[near]
+        cuts = [*range(0, len(left), 20_000), len(left)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            a, b = left[i:j], right[i:j]
+            pair = np.repeat(np.arange(j - i), n[a])
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n[a]) - n[a], n[a])
+            asked = b[pair] * span + code[begin[a][pair] + at]
+            found = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            both = key[found] == asked
+            early = both & (at < before[a][pair]) & (place_of[found] < before[b][pair])
+            ok = (np.bincount(pair[both], minlength=j - i) >= need[i:j]) & (np.bincount(pair[early], minlength=j - i) == 0)
+            a, b = a[ok], b[ok]
+            links += np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
+            np.minimum.at(first, a, rank[b])
+            np.minimum.at(first, b, rank[a])
+    return links, first
+
+
 def similar(sets: list[np.ndarray], word: np.uint64, order: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """For each set the number of similar ones whose first common word with it is word, and the one among them that is first in order."""
     n = np.array([len(s) for s in sets])
@@ -294,12 +373,6 @@ def sig_filter(sigs: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _lines(batches):
-    for b in slices(batches):
-        sets = Sets(b.column(0), None)
-        yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(sets.doc)), pa.array(sets.number), pa.array(sets.sig)], names=["id", "line", "sig"])
-
-
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bytes_per_bucket: int = BYTES_PER_BUCKET) -> DataFrame:
     """(id, line, links, first_id, removed) for every line of every row.
 
@@ -313,7 +386,9 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"))
-    counts = spark.sparkContext.broadcast(word_counts(texts))
+    lines = materialise(texts.mapInArrow(_lines, LINES), "lines")
+    counts = spark.sparkContext.broadcast(word_counts(lines))
+    lines = lines.where("chunk IS NULL").select("id", "line", "sig")
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = max(1, -(-total // bytes_per_bucket))
     posted = texts.select("text").mapInArrow(_post(counts, n_buckets, threshold), "bucket int, body binary")
@@ -322,9 +397,10 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = texts.mapInArrow(_contents(counts, wanted), "sig long, id long, line long, words binary")
     place = F.struct("id", "line")
     held = held.groupBy("sig").agg(F.min(F.struct(place.alias("at"), "words")).alias("m")).select("sig", "m.at.id", "m.at.line", "m.words")
-    verified = members.join(held, "sig").groupBy("word").applyInArrow(_verify(threshold), "sig long, links long, id long, line long")
+    n_groups = max(1, -(-members.count() // ROWS_PER_BUCKET))
+    grouped = members.join(held, "sig").withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(n_groups)))
+    verified = grouped.groupBy("bucket").applyInArrow(_verify(threshold), "sig long, links long, id long, line long")
     similar_sets = verified.groupBy("sig").agg(F.sum("links").alias("links"), F.min(place).alias("near"))
-    lines = materialise(texts.mapInArrow(_lines, "id long, line long, sig long"), "lines")
     firsts = lines.where("sig != 0").groupBy("sig").agg(F.min(place).alias("own")).join(similar_sets, "sig", "left")
     firsts = firsts.select("sig", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.least("own", F.coalesce("near", "own")).alias("first"))
     out = lines.join(firsts, "sig", "left")

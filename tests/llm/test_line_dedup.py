@@ -48,6 +48,24 @@ def test_large_groups_are_verified_in_blocks(monkeypatch):
         assert not mates or best[a] == min(mates)
 
 
+def test_small_groups_give_what_blocks_give(monkeypatch):
+    monkeypatch.setattr(line_dedup, "PAIRS", 7)
+    rng = np.random.default_rng(5)
+    groups = []
+    for word in (5, 6, 7):
+        for _ in range(20):
+            early = rng.choice(4, rng.integers(0, 3), replace=False).astype(np.uint64)
+            groups.append((word, np.concatenate([np.sort(early), [np.uint64(word)], np.sort(rng.choice(np.arange(8, 18), rng.integers(5, 10), replace=False)).astype(np.uint64)])))
+    groups.sort(key=lambda g: (g[0], len(g[1])))
+    word, sets = np.array([g[0] for g in groups], np.uint64), [g[1] for g in groups]
+    rank = rng.permutation(60)
+    links, first = line_dedup.small_groups(sets, word, np.array([len(x) for x in sets]), rank, 0.7)
+    for i in (0, 20, 40):
+        want, best = line_dedup.similar(sets[i : i + 20], word[i], np.argsort(rank[i : i + 20]), 0.7)
+        assert links[i : i + 20].tolist() == want.tolist() and want.sum() > 0
+        assert all(first[i + k] == rank[i + best[k]] for k in range(20) if want[k])
+
+
 def test_texts_lose_their_later_matches(spark):
     df = frame(spark, [(1, "one two three four five\nother"), (2, "x y\n\none two three four five six"), (3, None), (4, "One two three four five")])
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
