@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ._common import broadcast_if, load, materialise, slices
 
 LENGTH, GRAM = 50, 20
-PIECE = 4 << 20
+#: Bytes that are hashed together; arrays of them fit in a core's cache.
+PIECE = 1 << 17
 BYTES_PER_BUCKET = 4 << 20
 LEAST_BUCKETS = 256
 BROADCAST_ROWS = 1_000_000
