@@ -40,7 +40,7 @@ LAYOUT = {
 #: Bytes of text in a range, about.
 RANGE_BYTES = 24 << 20
 #: Different words that a worker remembers.
-CACHED = 400_000
+CACHED = 300_000
 LETTER, DIGIT, OTHER, SPACE, BLANK, UNSURE = range(6)
 
 
@@ -243,7 +243,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         encode, place, last = _encoder(spec.value), 0, None
-        for b in slices(batches, 8000, 16 << 20):
+        for b in slices(batches, 4000, 5 << 20):
             ids, n = encode.arrays(b.column(1))
             shard = b.column(2).to_numpy()
             place = place if shard[0] == last else 0
