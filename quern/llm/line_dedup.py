@@ -229,14 +229,15 @@ def _contents(counts, wanted):
     """(sig, id, line, words) of the batch's different sets that may have candidates; the words' bytes are in rarity order."""
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        bits = np.frombuffer(wanted.value, np.uint8)
         for b in slices(batches):
             ids = b.column(1).to_numpy()
             sets = Sets(b.column(0), counts.value)
             order = np.lexsort((sets.number, ids[sets.doc], sets.sig))
             sig = sets.sig[order]
             own = order[np.concatenate([[True], sig[1:] != sig[:-1]])] if len(order) else order
-            own = own[(sets.sig[own] != 0) & (bits[sets.sig[own] & (len(bits) - 1)] == 1)]
+            low = sets.sig[own] & (FILTER_BITS - 1)
+            own = own[(sets.sig[own] != 0) & (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1 == 1)]
             words = [sets.words[sets.end[k] - sets.size[k] : sets.end[k]].tobytes() for k in own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sets.sig[own]), pa.array(ids[sets.doc[own]]), pa.array(sets.number[own]), pa.array(words, pa.binary())], names=["sig", "id", "line", "words"]
@@ -348,10 +349,10 @@ def _incidence(code: np.ndarray, n: np.ndarray, before: np.ndarray, cut: int):
 
 
 def _filter_bits(batches):
-    bits = np.zeros(FILTER_BITS, bool)
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
     for b in batches:
-        bits[b.column(0).to_numpy() & (FILTER_BITS - 1)] = True
-    packed = np.packbits(bits)
+        low = np.unique(b.column(0).to_numpy() & (FILTER_BITS - 1))
+        np.bitwise_or.at(packed, low >> 3, np.uint8(128) >> (low & 7).astype(np.uint8))
     size = 1 << 16
     parts = [(i, packed[i : i + size]) for i in range(0, len(packed), size)]
     parts = [(i // size, p.tobytes()) for i, p in parts if p.any()]
