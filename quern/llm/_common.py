@@ -72,6 +72,7 @@ def slices(batches, rows: int = 1000, size: int = 16 << 20):
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, most, side="right"))))
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker may stand idle from now on
 
 
 def fresh(label: str) -> str:

@@ -206,6 +206,7 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
                     total, held, n = [], 0, 0
         if total:
             yield counts()
+        _KNOWN.clear()
 
     found = texts.select("text").mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r.hash for r in found.orderBy(F.desc("n"), "hash").limit(COMMON_MOST).select("hash").collect()], np.int64))
@@ -262,11 +263,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if held:
                 each = np.repeat(np.array(facts, np.int64), of, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), *(pa.array(np.ascontiguousarray(each[:, k])) for k in range(4))], names=["key", "cls", "n", "f0", "f1"])
+        _KNOWN.clear()
 
     def sets_of(batches):
         for b in slices(batches):
             found = [shingle_set(t or b"", shingle).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["cls", "hashes"])
+        _KNOWN.clear()
 
     own = F.struct("cls", "n", "f0", "f1")
     of_key = Window.partitionBy("key")

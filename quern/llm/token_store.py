@@ -145,9 +145,9 @@ class Encoder:
         if self.by_word:
             bare = {**made, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "decoder": None, "added_tokens": []}
             self.words = Tokenizer.from_str(json.dumps(bare))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -187,7 +187,7 @@ class Encoder:
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > CACHED:
-            self._forget()
+            self.forget()
         if new := [w for w in words if w not in self.known]:
             self._learn(new)
         slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
@@ -257,6 +257,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ends - n - begin), pa.array(n), lists], names=["doc_id", "shard", "place", "n_tokens", "ids"])
             place, last = int(ends[-1] - begin[-1]), shard[-1]
+        encode.forget()  # the tokenizers stay for the worker's next task, the words don't
 
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = two.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
