@@ -38,6 +38,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables in the shared folder that go when what they were made for is stored."""
 
@@ -51,8 +56,7 @@ class Scratch:
 
     def clear(self) -> None:
         for p in self.paths:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, p)
         self.paths = []
 
 

@@ -2,10 +2,12 @@
 
 Records are written by Spark's text writer: a record ends with two CRLFs, which
 is its line separator, so archives land on whatever file system the session
-writes to.  They are read back as whole files of a bounded number of records
-and parsed by their stated lengths.  Each archive gives a run of captures in
-local order; ranges of (URL key, time, page) receive a piece of every run and
-merge the pieces with a loser tree, which yields the global order.
+writes to.  They are not compressed, so a capture's position and length are those
+of its record in the file, and they are cut by bytes.  Reading them back gives
+each archive's captures, sorted by URL key, time and page: a run.  Runs are
+stored in this order and never sorted again: ranges of the key receive a piece of
+every run, hold the pieces as Arrow batches, and a loser tree merges them as
+streams of a few decoded rows each.
 """
 
 from __future__ import annotations
@@ -14,17 +16,19 @@ import base64
 import datetime
 import hashlib
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if, load, materialise, shared_path
+from ._common import broadcast_if, load, materialise, remove, shared_path
 
-RECORDS_PER_ARCHIVE = 2_000
-CAPTURES_PER_RANGE = 200_000
+#: Bytes of an archive, about; and of one whose records are all as long as the longest, if that is longer than this.
+ARCHIVE_BYTES, MOST_BYTES = 32 << 20, 512 << 20
+CAPTURES_PER_RANGE = 100_000
+#: Rows that a run's stream holds decoded.
+DECODED = 500
 BROADCAST_COPIES = 100_000
 #: Captures carry no time; a page's is this plus its id in seconds.
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
@@ -67,8 +71,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return p.select(F.concat(head, block).alias("record"))
 
 
-def write_archives(recs: DataFrame, path: str, per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    recs.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
+def records_per_archive(pages: DataFrame, html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, most_bytes: int = MOST_BYTES) -> int:
+    """So many records that an archive has about archive_bytes, and most_bytes if all were as long as the longest."""
+    n = F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)) + 1024
+    r = pages.agg(F.avg(n).alias("mean"), F.max(n).alias("most")).first()
+    return max(1, min(int(archive_bytes // r["mean"]), most_bytes // r["most"])) if r["most"] else 1
+
+
+def write_archives(recs: DataFrame, path: str, per_archive: int) -> None:
+    recs.write.option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", per_archive).text(path)
 
 
 def url_key(url: str) -> str:
@@ -120,30 +131,16 @@ def _types() -> list:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Captures of all archives under path; those of an archive are a run in local order."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = sorted((_capture(r, name.rsplit("/", 1)[-1]) for r in parse_archive(_plain(content.as_py()))), key=_order)
+                got = sorted((_capture(r, name.rsplit("/", 1)[-1]) for r in parse_archive(content.as_py())), key=_order)
                 cols = list(zip(*got, strict=True)) or [[]] * len(_names())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _types(), strict=True)], names=_names())
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CAPTURE)
 
 
-def _plain(data: bytes) -> bytes:
-    """Ungzipped, however many members the file has."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
-
-
 def loser_tree_merge(runs: list):
     """The tuples of sorted runs in global order; an inner node keeps the loser of its match, so a step replays one path."""
     runs = [iter(r) for r in runs]
@@ -181,19 +178,28 @@ def loser_tree_merge(runs: list):
             node //= 2
 
 
-def natural_runs(rows: list) -> list[list]:
-    """rows cut wherever their order falls."""
-    out: list[list] = []
+def natural_runs(batches) -> list[list[pa.RecordBatch]]:
+    """The rows of batches cut wherever their order falls: each run is a list of slices."""
+    out: list[list[pa.RecordBatch]] = []
     last = None
-    for r in rows:
-        key = _order(r)
-        if last is None or key < last:
-            out.append([])
-        out[-1].append(r)
-        last = key
+    for b in batches:
+        keys = [(u, t, i is not None, i or 0) for u, t, i in zip(*(b.column(_names().index(c)).to_pylist() for c in ("url_key", "captured_at", "page_id")), strict=True)]
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] < keys[k - 1]), len(keys)] if keys else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if last is None or i or keys[0] < last:
+                out.append([])
+            out[-1].append(b.slice(i, j - i))
+        last = keys[-1] if keys else last
     return out
 
 
+def stream(run: list[pa.RecordBatch]):
+    """The rows of a run as tuples, a few of them decoded at a time."""
+    for b in run:
+        for at in range(0, b.num_rows, DECODED):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, DECODED).columns), strict=True)
+
+
 def merge_index(captures: DataFrame, per_range: int = CAPTURES_PER_RANGE) -> DataFrame:
     """captures with index_part and index_place: their order is that of (URL key, time, page id).
 
@@ -204,12 +210,11 @@ def merge_index(captures: DataFrame, per_range: int = CAPTURES_PER_RANGE) -> Dat
     width = len(_names())
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         part, held, place = TaskContext.get().partitionId(), [], 0
-        for r in loser_tree_merge(natural_runs(rows)):
+        for r in loser_tree_merge([stream(x) for x in natural_runs(batches)]):
             held.append((*r, part, place))
             place += 1
-            if len(held) == 10_000:
+            if len(held) == 5_000:
                 yield _batch(held)
                 held = []
         if held:
@@ -223,10 +228,17 @@ def merge_index(captures: DataFrame, per_range: int = CAPTURES_PER_RANGE) -> Dat
     return ranged.mapInArrow(run, f"{CAPTURE}, index_part int, index_place long")
 
 
+def captures_of(pages: DataFrame) -> DataFrame:
+    """Write pages as archives, read them back and store the archives' runs of captures; the archives go then."""
+    spark, path = pages.sparkSession, shared_path(pages.sparkSession, "warc")
+    write_archives(records(pages), path, records_per_archive(pages))
+    runs = materialise(read_archives(spark, path), "captures")
+    remove(spark, path)
+    return runs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "warc")
-    write_archives(records(load(spark, sf_dir, "pages")), path)
-    index = merge_index(materialise(read_archives(spark, path), "captures"))
+    index = merge_index(captures_of(load(spark, sf_dir, "pages")))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured_at")
 
 

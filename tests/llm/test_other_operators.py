@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,10 @@ def test_archives_round_trip(spark, monkeypatch, tmp_path):
     path = str(tmp_path / "warc")
     warc.write_archives(warc.records(pages), path, per_archive=2)
     got = warc.merge_index(warc.read_archives(spark, path).persist(), per_range=3).collect()
+    for r in got:
+        data = (tmp_path / "warc" / r.archive).read_bytes()[r.position : r.position + r.length]
+        assert data.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and data.endswith(b"\r\n\r\n")
+    assert warc.records_per_archive(pages, most_bytes=250_000) == 2 and warc.records_per_archive(pages, archive_bytes=1) == 1
     least = {}
     for i, _, h in PAGES:
         if i is not None:
@@ -196,12 +201,16 @@ def test_loser_tree():
         runs = [sorted((row() for _ in range(rng.randrange(6))), key=warc._order) for _ in range(k)]
         assert [warc._order(r) for r in warc.loser_tree_merge(runs)] == sorted(warc._order(r) for x in runs for r in x)
     rows = [row() for _ in range(30)]
-    assert [r for x in warc.natural_runs(rows) for r in x] == rows
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:j], strict=True), warc._types(), strict=True)], names=warc._names()) for i, j in ((0, 1), (1, 17), (17, 30))]
+    runs = [list(warc.stream(x)) for x in warc.natural_runs(batches)]
+    assert [r for x in runs for r in x] == rows and all(x == sorted(x, key=warc._order) for x in runs)
+    assert all(warc._order(y[0]) < warc._order(x[-1]) for x, y in zip(runs, runs[1:], strict=False))
 
 
 def test_archives_of_no_pages(spark, tmp_path):
     path = str(tmp_path / "none")
-    warc.write_archives(warc.records(spark.createDataFrame([], "page_id long, url string, html string")), path)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(warc.records(none), path, warc.records_per_archive(none))
     assert warc.read_archives(spark, path).count() == 0
 
 
