@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -34,10 +35,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage is cut, no executor holds the only copy."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with few_rows(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most so many rows while a plan runs in this block; the session's own size holds again after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.getAll.get(key)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -51,7 +66,8 @@ class Scratch:
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         self.paths.append(shared_path(self.spark, label))
-        df.write.parquet(self.paths[-1])
+        with few_rows(self.spark):
+            df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def clear(self) -> None:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import load, shared_path, slices
+from ._common import few_rows, load, shared_path, slices
 
 END_ID = 2
 STORE = "doc_id long, shard int, place long, n_tokens long, ids array<int>"
@@ -264,7 +264,8 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     ranged = two.repartitionByRange(max(1, -(-total // range_bytes)), *order[:2]).sortWithinPartitions(*order)
     placed = ranged.withColumn("shard", F.spark_partition_id())
-    placed.mapInArrow(run, STORE).write.options(**LAYOUT).parquet(path)
+    with few_rows(spark):
+        placed.mapInArrow(run, STORE).write.options(**LAYOUT).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
