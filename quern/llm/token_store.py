@@ -10,7 +10,6 @@ metadata skips the rest.
 from __future__ import annotations
 
 import functools
-import json
 import os
 import zlib
 from pathlib import Path
@@ -129,22 +128,21 @@ class Encoder:
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        made = json.loads(spec)
-        pre = made.get("pre_tokenizer") or {}
+        model, pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.letters = {b: ord(c) for b, c in enumerate(_byte_letters())}
         vocabulary = self.tokenizer.get_vocab()
         self.mark = vocabulary.get(chr(self.letters[10]))
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(chr(self.letters[32]))]] = True
-        plain = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.by_word = plain and self.mark is not None and made["model"].get("type") == "BPE" and not made["model"].get("dropout") and not made["model"].get("unk_token")
+        plain = self.tokenizer.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex
+        self.by_word = plain and self.mark is not None and isinstance(model, models.BPE) and not model.dropout and model.unk_token is None
         if self.by_word:
-            bare = {**made, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "post_processor": None, "decoder": None, "added_tokens": []}
-            self.words = Tokenizer.from_str(json.dumps(bare))
+            self.words = Tokenizer(model)
+            self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.forget()
 
     def forget(self) -> None:
@@ -243,7 +241,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         encode, place, last = _encoder(spec.value), 0, None
-        for b in slices(batches, 4000, 5 << 20):
+        for b in slices(batches, 2000, 3 << 20):
             ids, n = encode.arrays(b.column(1))
             shard = b.column(2).to_numpy()
             place = place if shard[0] == last else 0
