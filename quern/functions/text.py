@@ -63,7 +63,7 @@ def norm_key(c: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def norm_unicode(s: pd.Series) -> pd.Series:
     """NFC; Spark has no function for it."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
 def numbers(c: Column) -> Column:

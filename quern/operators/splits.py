@@ -49,15 +49,6 @@ def pair(items: DataFrame, first: str, second: str) -> DataFrame:
     return of(first, "first").join(of(second, "second"), "task")
 
 
-def mix(df: DataFrame, by: str, weights: dict[str, float], row_id: str = "doc_id") -> DataFrame:
-    """The share of each category that its weight names, by hash order; 1 for categories without weight."""
-    share = F.lit(1.0)
-    for k, w in weights.items():
-        share = F.when(F.col(by) == k, w).otherwise(share)
-    p = F.percent_rank().over(W.partitionBy(by).orderBy(F.md5(F.col(row_id).cast("string")), row_id))
-    return df.withColumn("_p", p).where(F.col("_p") <= share).drop("_p")
-
-
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with its 1-based place in a total order: range-sorted partitions, their sizes added up, places within.
 
@@ -77,3 +68,28 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, row_id: str = "doc_id") ->
     """df with pos, its 0-based place in the epoch's order; every row has one, the tail included."""
     keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(row_id).cast("string"))))
     return global_rank(keyed, ["_h", row_id], "pos").withColumn("pos", F.col("pos") - 1).drop("_h")
+
+
+def mix(df: DataFrame, by: str, weights: dict[str, float], row_id: str = "doc_id") -> DataFrame:
+    """The share of each category that its weight names, by hash order; 1 for categories without weight.
+
+    A row's place in its category is its place in the total order less that of
+    the category's first row, so no category is one task's.
+    """
+    share = F.lit(1.0)
+    for k, w in weights.items():
+        share = F.when(F.col(by) == k, w).otherwise(share)
+    placed = global_rank(df.withColumn("_h", F.md5(F.col(row_id).cast("string"))), [by, "_h", row_id], "_at")
+    of = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    joined = placed.join(of, F.col(by).eqNullSafe(F.col("_by")))
+    p = F.when(F.col("_n") > 1, (F.col("_at") - F.col("_first")) / (F.col("_n") - 1)).otherwise(0.0)
+    return joined.where(p <= share).select(*df.columns)
+
+
+def tiles(df: DataFrame, order: list[str], n: int, name: str) -> DataFrame:
+    """df with the number of its tile, of n tiles of equal sizes in a total order, the first ones larger by one if need be."""
+    total = df.count()
+    size, rest = divmod(total, n)
+    at = F.col("_at") - 1
+    tile = F.when(at < rest * (size + 1), F.floor(at / (size + 1))).otherwise(F.floor((at - rest * (size + 1)) / max(1, size)) + rest) + 1
+    return global_rank(df, order, "_at").withColumn(name, tile.cast("int")).drop("_at")

@@ -26,7 +26,7 @@ def _(t):
 _SHINGLES = f"SELECT DISTINCT doc_id, ('0x' || substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 7))::BIGINT AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, string_split({_KEY}, ' ') AS w FROM documents))"
 _MINHASH = f"SELECT doc_id, k, min(((2654435 * (k + 1) + 1) * h + 40503 * k) % 2147483647) AS m FROM ({_SHINGLES}), (SELECT unnest(range(16)) AS k) GROUP BY ALL"
 _PAIRS = f"""WITH s AS MATERIALIZED ({_SHINGLES}), m AS (SELECT doc_id, k, min(((2654435 * (k + 1) + 1) * h + 40503 * k) % 2147483647) AS m FROM s, (SELECT unnest(range(16)) AS k) GROUP BY ALL),
-b AS (SELECT doc_id, k // 4 AS band, string_agg(m::VARCHAR, ',' ORDER BY k) AS key FROM m GROUP BY ALL),
+b AS (SELECT doc_id, k // 2 AS band, string_agg(m::VARCHAR, ',' ORDER BY k) AS key FROM m GROUP BY ALL),
 p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT p.a, p.b, count(*) AS o FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b AND y.h = x.h GROUP BY ALL),
@@ -112,7 +112,7 @@ def _(t):
 @query("split_param_range", "SELECT doc_id, CASE WHEN n_chars < 500 THEN 'train' WHEN n_chars < 2000 THEN 'validation' ELSE 'test' END AS split, ntile(4) OVER (ORDER BY n_chars, doc_id)::INTEGER AS quarter FROM documents")
 def _(t):
     cut = F.when(F.col("n_chars") < 500, "train").when(F.col("n_chars") < 2000, "validation").otherwise("test")
-    return t.documents.select("doc_id", cut.alias("split"), F.ntile(4).over(W.orderBy("n_chars", "doc_id")).alias("quarter"))
+    return splits.tiles(t.documents.select("doc_id", "n_chars", cut.alias("split")), ["n_chars", "doc_id"], 4, "quarter").drop("n_chars")
 
 
 @query("challenge_split", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'challenge' ELSE 'other' END AS part FROM documents")

@@ -14,10 +14,10 @@ from quern.plans.text_queries import _KEY
 # --- pages -----------------------------------------------------------------
 
 
-@query("open_url", "SELECT url, page_id, length(html)::INTEGER AS n_chars FROM pages WHERE page_id % 10 = 0")
+@query("open_url", "SELECT url, page_id, length(html)::INTEGER AS n_chars FROM pages WHERE url IS NOT NULL")
 def _(t):
-    asked = t.pages.where("page_id % 10 = 0").select("url")
-    return t.pages.join(asked, "url").select("url", "page_id", F.length("html").alias("n_chars"))
+    asked = t.pages.select("url").distinct()
+    return t.pages.join(asked, "url", "left_semi").select("url", "page_id", F.length("html").alias("n_chars"))
 
 
 _BARE = "regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g')"
@@ -382,13 +382,20 @@ def _(t):
     return t.values(PREDICTIONS).groupBy("domain").agg(F.round(F.avg(_hit()), 9).alias("accuracy")).orderBy("accuracy", "domain").limit(2)
 
 
-@query("exp_failure_record")
+@query("exp_failure_record", f"""SELECT experiment, 'validation rose while train fell' AS failure, 'overfit' AS hypothesis, arg_max(fingerprint, step) AS fingerprint, max(step) AS last_step, min(validation) AS best_validation, arg_max(validation, step) AS result, 'stop at the best step' AS decision
+FROM {_CAST} GROUP BY experiment HAVING arg_max(validation, step) > min(validation) AND arg_max(train, step) <= min(train)""")
 def _(t):
-    row = {"failure": "validation rose", "hypothesis": "overfit", "intervention": "more data", "configuration": "c1", "fingerprint": "f1", "result": "better", "regression": "none", "decision": "keep"}
-    return t.spark.createDataFrame([tuple(row.values())], list(row))
+    by_step = lambda c: F.max_by(c, "step")
+    runs = _ledger(t).groupBy("experiment").agg(
+        by_step("fingerprint").alias("fingerprint"), F.max("step").alias("last_step"), F.min("validation").alias("best_validation"), by_step("validation").alias("result"),
+        by_step("train").alias("train"), F.min("train").alias("best_train"),
+    )
+    failed = runs.where("result > best_validation AND train <= best_train")
+    told = {"failure": "validation rose while train fell", "hypothesis": "overfit", "decision": "stop at the best step"}
+    return failed.select("experiment", *[F.lit(v).alias(k) for k, v in told.items()], "fingerprint", "last_step", "best_validation", "result")
 
 
-@query("rep_training")
+@query("rep_training", f"SELECT experiment, max(step) AS steps, min(train) AS best_train, min(validation) AS best_validation FROM {_CAST} GROUP BY experiment")
 def _(t):
     return _ledger(t).groupBy("experiment").agg(F.max("step").alias("steps"), F.min("train").alias("best_train"), F.min("validation").alias("best_validation"))
 

@@ -42,12 +42,12 @@ def _(t):
     return adapters.run_adapter(t.spark, Spec("public_domain", _files(t, "public"), "public", "MIT"), PERMITTED)[0].select("text", "source_type")
 
 
-@query("adapter_contract")
+@query("adapter_contract", "SELECT 'made' AS source, 'synthetic' AS source_type, 'MIT' AS license, count(DISTINCT i * 7 % 101)::BIGINT AS n_records FROM range(300) AS r(i)")
 def _(t):
     return adapters.run_adapter(t.spark, Spec("synthetic", "", "made", "MIT", {"n": 300}), PERMITTED)[1].select("source", "source_type", "license", "n_records")
 
 
-@query("source_fault_isolation")
+@query("source_fault_isolation", "SELECT * FROM (VALUES ('made', 'read', 50::BIGINT), ('gone', 'failed', 0)) AS v(source, state, n)")
 def _(t):
     specs = [Spec("synthetic", "", "made", "MIT", {"n": 50}), Spec("dataset", f"{t.folder}/no_such_table.parquet", "gone", "MIT"), Spec("synthetic", "", "unlicensed", None)]
     records, failures = adapters.union_sources(t.spark, specs, PERMITTED)
@@ -75,12 +75,12 @@ def _(t):
     return adapters.extract_documents(t.values(DOCS)).where("kind = 'pdf'").select("id", "status")
 
 
-@query("provider_http")
+@query("provider_http", "SELECT category, 'none' AS provider, false AS available FROM (VALUES ('web'), ('news'), ('image'), ('academic'), ('code'), ('docs'), ('package')) AS c(category)")
 def _(t):
     return adapters.provider_status(t.spark, {})
 
 
-@query("provider_registry")
+@query("provider_registry", "SELECT category, CASE WHEN category IN ('docs', 'code') THEN 'local' ELSE 'none' END AS provider, category IN ('docs', 'code') AS available FROM (VALUES ('web'), ('news'), ('image'), ('academic'), ('code'), ('docs'), ('package')) AS c(category)")
 def _(t):
     return adapters.provider_status(t.spark, {"docs": "local", "code": "local"})
 
@@ -109,11 +109,11 @@ def _(t):
     return sinks.artifact_size(t.spark, _files(t, "artifact"))
 
 
-@query("dataset_versioning", "SELECT count(*)::BIGINT AS n, 'v1' AS version FROM documents WHERE doc_id < 100")
+@query("dataset_versioning", "SELECT count(*)::BIGINT AS n, 'v1' AS version FROM documents")
 def _(t):
     root = workspace(t.spark, "versions")
-    sinks.commit_version(t.documents.where("doc_id < 100"), root, "v1")
-    sinks.commit_version(t.documents.where("doc_id < 200"), root, "v2")
+    sinks.commit_version(t.documents, root, "v1")
+    sinks.commit_version(t.documents.withColumn("text", F.upper("text")), root, "v2")
     sinks.set_version(t.spark, root, "v1")
     return sinks.read_version(t.spark, root).groupBy("version").agg(F.count("*").alias("n"))
 
@@ -137,7 +137,10 @@ def _(t):
     root = workspace(t.spark, "ingest")
     rows = t.documents.select("doc_id", "text", F.lit("MIT").alias("license"))
     rows.repartition(3, "doc_id").write.parquet(f"{root}/incoming")
-    store = ingest(t.spark, f"{root}/incoming", f"{root}/store", f"{root}/state", rows.schema, ["MIT"], tolerance=1.0)
+    ingest(t.spark, f"{root}/incoming", f"{root}/store", f"{root}/state", rows.schema, ["MIT"], tolerance=1.0)
+    poor = t.spark.range(20).select((F.col("id") + 10**9).alias("doc_id"), F.concat(F.lit("x"), "id").alias("text"), F.lit("MIT").alias("license"))
+    poor.coalesce(1).write.mode("append").parquet(f"{root}/incoming")  # a later batch of far shorter texts, which the gate refuses
+    store = ingest(t.spark, f"{root}/incoming", f"{root}/store", f"{root}/state", rows.schema, ["MIT"], tolerance=0.5)
     return store.agg(F.count("*").alias("n"))
 
 

@@ -140,7 +140,7 @@ def _(t):
     return t.values(NORM).where("raw IS NOT NULL").select("id", X.control_count(F.col("raw")).alias("n_before"), X.control_count(X.norm_code(F.col("raw"))).alias("n_after"))
 
 
-@query("norm_unicode")
+@query("norm_unicode", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.norm_unicode("text").alias("text"))
 
@@ -248,10 +248,20 @@ def _(t):
 CATEGORIES = "(VALUES ('A', 'language'), ('B', 'logic'), ('C', 'mathematics'), ('D', 'algorithms'), ('E', 'code generation'), ('F', 'debugging'), ('G', 'explanation'), ('H', 'instruction'), ('I', 'tool use')) AS c(category, label)"
 
 
-@query("category_assign", f"SELECT d.doc_id, c.category, c.label FROM (SELECT doc_id, chr(65 + (doc_id % 9)::INT) AS k FROM documents) d JOIN {CATEGORIES} ON c.category = d.k")
+#: What a text of each category holds, the first that fits; texts that fit none are language.
+CATEGORY_RULES = [
+    ("I", r"<\|tool|tool_call"), ("F", r"(?i)\b(traceback|exception|debug)\b"), ("E", r"\b(def|class) \w+|```"), ("D", r"(?i)\b(algorithm|sort|graph)\b"),
+    ("C", r"\d+ ?[-+*/=] ?\d+"), ("B", r"(?i)\b(implies|therefore|if and only if)\b"), ("G", r"(?i)\b(because|explains?)\b"), ("H", r"(?i)\b(please|summari[sz]e)\b"),
+]
+_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in CATEGORY_RULES) + " ELSE 'A' END"
+
+
+@query("category_assign", f"SELECT d.doc_id, c.category, c.label FROM (SELECT doc_id, {_CATEGORY} AS k FROM documents) d JOIN {CATEGORIES} ON c.category = d.k")
 def _(t):
-    k = t.documents.select("doc_id", F.char(F.lit(65) + F.col("doc_id") % 9).alias("category"))
-    return k.join(F.broadcast(t.values(CATEGORIES)), "category").select("doc_id", "category", "label")
+    k = F.lit("A")
+    for name, pattern in reversed(CATEGORY_RULES):
+        k = F.when(F.col("text").rlike(pattern), name).otherwise(k)
+    return t.documents.select("doc_id", k.alias("category")).join(F.broadcast(t.values(CATEGORIES)), "category").select("doc_id", "category", "label")
 
 
 @query("safety_filter", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND NOT regexp_matches(lower(text), '\\b(idiot|moron|scum)\\b')")
