@@ -168,6 +168,17 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist())
 
 
+#: 64-bit words of a parity sketch.
+SKETCH = 16
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """64 * SKETCH bits, each the parity of the hashes that fall on it: two sketches differ in no more bits than their sets in members."""
+    at = (hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    odd = np.bincount((at % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_bits(similarity: float) -> int:
     """The bits in which the wide fingerprints of sets of this similarity may differ: the expected number and five and a half standard errors."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -235,10 +246,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in the order of their hashes.  Those that meet are told apart by their sizes
     and wide fingerprints, and what is left by the sets themselves.  Where sets
     share a shingle of their prefixes, all meet the first and the last one and
-    each is compared with one of those it may resemble, then all meet the one
-    that has most links; in what isn't connected after that all pairs of
-    different components meet.  Rows of equal texts are one class; root names the
-    component.
+    each is compared with one of those it may resemble, then each meets
+    the one that has most links; in what isn't connected after that all pairs of
+    different components meet, told apart by parity sketches, too, before any is
+    made.  Rows of equal texts are one class; root names the component.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -271,6 +282,16 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["cls", "hashes"])
         _KNOWN.clear()
 
+    def parities(batches):
+        for b in slices(batches):
+            found = [parity(shingle_set(t or b"", shingle)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["cls", "parity"])
+        _KNOWN.clear()
+
+    def of_classes(asked: DataFrame) -> DataFrame:
+        return texts.join(broadcast_if(asked, asked.count(), BROADCAST_ROWS), "cls", "left_semi").select("cls", "text")
+
     own = F.struct("cls", "n", "f0", "f1")
     of_key = Window.partitionBy("key")
     emitted = texts.select("cls", "text").mapInArrow(keys, "key long, cls long, n long, f0 long, f1 long").select("key", own.alias("own"))
@@ -287,8 +308,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own_scratch = Scratch(spark)
         pairs = own_scratch.table(pairs, "pairs")
         asked = own_scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
-        wanted = texts.join(broadcast_if(asked, asked.count(), BROADCAST_ROWS), "cls", "left_semi").select("cls", "text").mapInArrow(sets_of, "cls long, hashes binary")
-        sets = own_scratch.table(wanted.dropDuplicates(["cls"]), "sets")
+        sets = own_scratch.table(of_classes(asked).mapInArrow(sets_of, "cls long, hashes binary").dropDuplicates(["cls"]), "sets")
         side = lambda n: sets.select(F.col("cls").alias(n), F.col("hashes").alias(f"hashes_{n}"))
         new = side("a").join(broadcast_if(pairs, pairs.count(), BROADCAST_ROWS), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_exact(num, den), "a long, b long")
         edges = scratch.table(new if before is None else before.unionByName(new), "edges")
@@ -307,12 +327,19 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = open_members(roots)
     if not left.isEmpty():
         degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-        hubs = left.withColumn("cls", F.col("own.cls")).join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "own")).alias("most")).select("key", F.col("most.own").alias("end"))
-        edges, roots = link(ordered(left.join(hubs, "key").where(may)), edges)
+        hubs = left.withColumn("cls", F.col("own.cls")).join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "own")).alias("most"))
+        met = left.join(hubs.select("key", "most.degree", F.col("most.own").alias("end")), "key").where(may)
+        best = met.groupBy("own.cls").agg(F.max(F.struct("degree", "own", "end")).alias("x")).select("x.own", "x.end")
+        edges, roots = link(ordered(best), edges)
         left = open_members(roots)
     if not left.isEmpty():
-        other = left.select("key", F.col("own").alias("end"), F.col("root").alias("other"))
-        _, roots = link(ordered(left.join(other, "key").where((F.col("root") < F.col("other")) & may)), edges)
+        asked = scratch.table(left.select(F.col("own.cls").alias("cls")).distinct(), "open-classes")
+        sketches = scratch.table(of_classes(asked).mapInArrow(parities, "cls long, parity array<long>").dropDuplicates(["cls"]), "parities")
+        left = scratch.table(left.withColumn("cls", F.col("own.cls")).join(sketches, "cls").select("key", "own", "root", "parity"), "sketched")
+        other = left.select("key", F.col("own").alias("end"), F.col("root").alias("other"), F.col("parity").alias("far"))
+        apart = "aggregate(zip_with(parity, far, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+        close = F.expr(f"{apart} * {den + num} <= (own.n + end.n) * {den - num}")
+        _, roots = link(ordered(left.join(other, "key").where((F.col("root") < F.col("other")) & may & close)), edges)
 
     classes = rows.groupBy("cls").agg(F.min("id").alias("first"))
     grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
