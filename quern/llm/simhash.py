@@ -168,6 +168,8 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist())
 
 
+#: Rounds in which each set that isn't connected yet meets one drawn at random: where links are dense, each round leaves a fraction of the components.
+DRAWS = 3
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 
@@ -247,9 +249,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and wide fingerprints, and what is left by the sets themselves.  Where sets
     share a shingle of their prefixes, all meet the first and the last one and
     each is compared with one of those it may resemble, then each meets
-    the one that has most links; in what isn't connected after that all pairs of
-    different components meet, told apart by parity sketches, too, before any is
-    made.  Rows of equal texts are one class; root names the component.
+    the one that has most links, then, DRAWS times, one drawn at random; in what
+    isn't connected after that all pairs of different components meet, told apart
+    by parity sketches, too, before any is made.  Rows of equal texts are one class; root names the component.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -335,11 +337,22 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not left.isEmpty():
         asked = scratch.table(left.select(F.col("own.cls").alias("cls")).distinct(), "open-classes")
         sketches = scratch.table(of_classes(asked).mapInArrow(parities, "cls long, parity array<long>").dropDuplicates(["cls"]), "parities")
-        left = scratch.table(left.withColumn("cls", F.col("own.cls")).join(sketches, "cls").select("key", "own", "root", "parity"), "sketched")
-        other = left.select("key", F.col("own").alias("end"), F.col("root").alias("other"), F.col("parity").alias("far"))
         apart = "aggregate(zip_with(parity, far, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
-        close = F.expr(f"{apart} * {den + num} <= (own.n + end.n) * {den - num}")
-        _, roots = link(ordered(left.join(other, "key").where((F.col("root") < F.col("other")) & may & close)), edges)
+        close = may & F.expr(f"root != other AND {apart} * {den + num} <= (own.n + end.n) * {den - num}")
+
+        def sketched(rows: DataFrame) -> DataFrame:
+            return scratch.table(rows.withColumn("cls", F.col("own.cls")).join(sketches, "cls").select("key", "own", "root", "parity"), "sketched")
+
+        for turn in range(DRAWS):
+            now = sketched(left)
+            drawn = now.groupBy("key").agg(F.max(F.struct(F.xxhash64("own.cls", F.lit(turn)).alias("h"), F.col("own").alias("end"), F.col("root").alias("other"), F.col("parity").alias("far"))).alias("x"))
+            met = now.join(drawn.select("key", "x.*"), "key").where(close)
+            best = met.groupBy("own.cls").agg(F.max(F.struct("h", "own", "end")).alias("x")).select("x.own", "x.end")
+            edges, roots = link(ordered(best), edges)
+            left = open_members(roots)
+        now = sketched(left)
+        other = now.select("key", F.col("own").alias("end"), F.col("root").alias("other"), F.col("parity").alias("far"))
+        _, roots = link(ordered(now.join(other, "key").where((F.col("root") < F.col("other")) & close)), edges)
 
     classes = rows.groupBy("cls").agg(F.min("id").alias("first"))
     grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
