@@ -168,8 +168,8 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64).tolist())
 
 
-#: Rounds in which each set that isn't connected yet meets one drawn at random: where links are dense, each round leaves a fraction of the components.
-DRAWS = 3
+#: Rounds in which each set that isn't connected yet meets one drawn at random: where links are dense, a round leaves a fraction of the components.
+DRAWS = 1
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 
@@ -248,10 +248,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in the order of their hashes.  Those that meet are told apart by their sizes
     and wide fingerprints, and what is left by the sets themselves.  Where sets
     share a shingle of their prefixes, all meet the first and the last one and
-    each is compared with one of those it may resemble, then each meets
-    the one that has most links, then, DRAWS times, one drawn at random; in what
-    isn't connected after that all pairs of different components meet, told apart
-    by parity sketches, too, before any is made.  Rows of equal texts are one class; root names the component.
+    each is compared with one of those it may resemble, then, DRAWS times, each
+    meets one drawn at random; in what isn't connected after that all pairs of
+    different components meet, told apart by parity sketches, too, before any is
+    made.  Rows of equal texts are one class; root names the component.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -327,13 +327,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     may = _may_link("own", "end", num, den, bits)
     edges, roots = link(ordered(members.select("own", F.explode(F.array("lo", "hi")).alias("end")).where(may)))
     left = open_members(roots)
-    if not left.isEmpty():
-        degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-        hubs = left.withColumn("cls", F.col("own.cls")).join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "own")).alias("most"))
-        met = left.join(hubs.select("key", "most.degree", F.col("most.own").alias("end")), "key").where(may)
-        best = met.groupBy("own.cls").agg(F.max(F.struct("degree", "own", "end")).alias("x")).select("x.own", "x.end")
-        edges, roots = link(ordered(best), edges)
-        left = open_members(roots)
     if not left.isEmpty():
         asked = scratch.table(left.select(F.col("own.cls").alias("cls")).distinct(), "open-classes")
         sketches = scratch.table(of_classes(asked).mapInArrow(parities, "cls long, parity array<long>").dropDuplicates(["cls"]), "parities")
