@@ -172,6 +172,8 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 DRAWS = 1
 #: 64-bit words of a parity sketch.
 SKETCH = 16
+#: A pair is made at a shingle only if the sets share none of the so many before it in their prefixes.
+BEFORE = 8
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -251,7 +253,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each is compared with one of those it may resemble, then, DRAWS times, each
     meets one drawn at random; in what isn't connected after that all pairs of
     different components meet, told apart by parity sketches, too, before any is
-    made.  Rows of equal texts are one class; root names the component.
+    made.  There a pair is made at the first shingle that both prefixes hold, and
+    not at a later one that follows a shared one closely: all prefixes have one
+    order, so the first is never left out.  Rows of equal texts are one class;
+    root names the component.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -275,7 +280,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     facts.append((c, len(hashes), *wide_fingerprint(hashes)))
             if held:
                 each = np.repeat(np.array(facts, np.int64), of, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), *(pa.array(np.ascontiguousarray(each[:, k])) for k in range(4))], names=["key", "cls", "n", "f0", "f1"])
+                at = np.concatenate([np.arange(n, dtype=np.int32) for n in of])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(at), *(pa.array(np.ascontiguousarray(each[:, k])) for k in range(4))], names=["key", "at", "cls", "n", "f0", "f1"])
         _KNOWN.clear()
 
     def sets_of(batches):
@@ -284,11 +290,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["cls", "hashes"])
         _KNOWN.clear()
 
+    def lists(arrays):
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
     def parities(batches):
         for b in slices(batches):
-            found = [parity(shingle_set(t or b"", shingle)) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["cls", "parity"])
+            found = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists([parity(h) for h in found]), lists([prefix(h, common.value, num, den) for h in found])], names=["cls", "parity", "prefix"])
         _KNOWN.clear()
 
     def of_classes(asked: DataFrame) -> DataFrame:
@@ -296,7 +305,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     own = F.struct("cls", "n", "f0", "f1")
     of_key = Window.partitionBy("key")
-    emitted = texts.select("cls", "text").mapInArrow(keys, "key long, cls long, n long, f0 long, f1 long").select("key", own.alias("own"))
+    emitted = texts.select("cls", "text").mapInArrow(keys, "key long, at int, cls long, n long, f0 long, f1 long").select("key", "at", own.alias("own"))
     ends = emitted.withColumns({"lo": F.min("own").over(of_key), "hi": F.max("own").over(of_key)}).where("lo.cls != hi.cls")
     members = scratch.table(ends, "members")
 
@@ -319,33 +328,35 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return edges, scratch.table(roots, "roots")
 
     def open_members(roots: DataFrame) -> DataFrame:
-        """The members of the keys that still hold several components."""
-        named = members.select("key", "own", F.col("own.cls").alias("cls")).join(roots, "cls", "left").select("key", "own", F.coalesce("root", "cls").alias("root"))
+        """The members of the keys that still hold several components, each once."""
+        named = members.select("key", "at", "own", F.col("own.cls").alias("cls")).join(roots, "cls", "left").select("key", "at", "own", F.coalesce("root", "cls").alias("root"))
         ranged = named.withColumns({"x": F.min("root").over(of_key), "y": F.max("root").over(of_key)}).where("x != y")
-        return scratch.table(ranged.select("key", "own", "root"), "open")
+        return scratch.table(ranged.select("key", "at", "own", "root").distinct(), "open")
 
     may = _may_link("own", "end", num, den, bits)
     edges, roots = link(ordered(members.select("own", F.explode(F.array("lo", "hi")).alias("end")).where(may)))
     left = open_members(roots)
     if not left.isEmpty():
         asked = scratch.table(left.select(F.col("own.cls").alias("cls")).distinct(), "open-classes")
-        sketches = scratch.table(of_classes(asked).mapInArrow(parities, "cls long, parity array<long>").dropDuplicates(["cls"]), "parities")
+        sketches = scratch.table(of_classes(asked).mapInArrow(parities, "cls long, parity array<long>, prefix array<long>").dropDuplicates(["cls"]), "parities")
         apart = "aggregate(zip_with(parity, far, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
-        close = may & F.expr(f"root != other AND {apart} * {den + num} <= (own.n + end.n) * {den - num}")
+        close = F.expr(f"{apart} * {den + num} <= (own.n + end.n) * {den - num}")
+        before = F.expr(f"slice(prefix, greatest(1, at + 1 - {BEFORE}), least(at, {BEFORE}))")
 
         def sketched(rows: DataFrame) -> DataFrame:
-            return scratch.table(rows.withColumn("cls", F.col("own.cls")).join(sketches, "cls").select("key", "own", "root", "parity"), "sketched")
+            return scratch.table(rows.withColumn("cls", F.col("own.cls")).join(sketches, "cls").select("key", "own", "root", "parity", before.alias("before")), "sketched")
 
         for turn in range(DRAWS):
             now = sketched(left)
             drawn = now.groupBy("key").agg(F.max(F.struct(F.xxhash64("own.cls", F.lit(turn)).alias("h"), F.col("own").alias("end"), F.col("root").alias("other"), F.col("parity").alias("far"))).alias("x"))
-            met = now.join(drawn.select("key", "x.*"), "key").where(close)
+            met = now.join(drawn.select("key", "x.*"), "key").where(may & F.expr("root != other") & close)
             best = met.groupBy("own.cls").agg(F.max(F.struct("h", "own", "end")).alias("x")).select("x.own", "x.end")
             edges, roots = link(ordered(best), edges)
             left = open_members(roots)
         now = sketched(left)
-        other = now.select("key", F.col("own").alias("end"), F.col("root").alias("other"), F.col("parity").alias("far"))
-        _, roots = link(ordered(now.join(other, "key").where((F.col("root") < F.col("other")) & close)), edges)
+        other = now.select("key", F.col("own").alias("end"), F.col("root").alias("other"), F.col("parity").alias("far"), F.col("before").alias("passed"))
+        first = ~F.arrays_overlap("before", "passed")
+        _, roots = link(ordered(now.join(other, "key").where((F.col("root") < F.col("other")) & may & first & close)), edges)
 
     classes = rows.groupBy("cls").agg(F.min("id").alias("first"))
     grouped = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))

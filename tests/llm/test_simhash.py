@@ -147,6 +147,27 @@ def test_copies_alike_only_through_a_hub_are_one_group(spark):
     assert [r.doc_id for r in simhash.deduplicate(frame(spark, rows)).collect()] == [0]
 
 
+@pytest.mark.parametrize("before", [0, 1, 8])
+def test_pairs_are_the_same_wherever_they_are_made(spark, monkeypatch, before):
+    import random
+
+    monkeypatch.setattr(simhash, "DRAWS", 0)
+    monkeypatch.setattr(simhash, "BEFORE", before)
+    rng, rows, sets = random.Random(6), [], []
+    for g in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(12):
+            sets.append(edited(base, rng.randint(2, 6), rng))
+            rows.append((len(rows), " ".join(sets[-1])))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).select("id", "component_id").collect()}
+    assert 6 < len(set(root)) < len(rows) and [got[k] for k in range(len(rows))] == root
+
+
 def test_each_row_is_decided_by_its_own_text(spark):
     alone = [f"{name} is all that this {name} text of {name} has to say" for name in ("alpha", "beta", "gamma", "delta")]
     rows = [(None, alone[0]), (None, alone[1]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (1, "the shared text of three rows"), (7, "the shared text of three rows"), (None, "the shared text of three rows")]
