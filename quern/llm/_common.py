@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -76,11 +77,22 @@ class Scratch:
         self.paths = []
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the machine: a worker lives through many tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches, rows: int = 1000, size: int = 16 << 20):
     """The batches in slices of at most so many rows, and of about so many bytes of text where one row doesn't have more.
 
     What Python makes of a batch is bounded by this alone; the session's own batch size, which later queries see, stays as it is.
     """
+    give_back()  # what an earlier task of this worker left
     for b in batches:
         held = np.zeros(b.num_rows, np.int64)
         for c in b.columns:
@@ -92,7 +104,7 @@ def slices(batches, rows: int = 1000, size: int = 16 << 20):
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, most, side="right"))))
             yield b.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the worker may stand idle from now on
+        give_back()
 
 
 def fresh(label: str) -> str:
