@@ -289,7 +289,7 @@ def _(t):
     return t.values(FILES).select("path", (F.contains("content", F.lit("rm -rf /")) | F.contains("content", F.lit("eval(base64"))).alias("hostile"))
 
 
-@query("binary_filter")
+@query("binary_filter", f"SELECT path FROM {FILES} WHERE NOT regexp_matches(content, '[\\x00-\\x08]')")
 def _(t):
     return t.values(FILES).where(~F.col("content").rlike(r"[\x00-\x08]") & F.is_valid_utf8(F.col("content"))).select("path")
 
@@ -353,7 +353,7 @@ def syntax_valid(df, lang: str = "lang", code: str = "code"):
     return df.withColumn("valid", F.pandas_udf(check, "boolean")(lang, code))
 
 
-@query("syntax_valid")
+@query("syntax_valid", "SELECT * FROM (VALUES (1, 'python', 'x = 1', true), (2, 'python', 'def f(:', false), (3, 'c', 'int x;', NULL), (4, 'python', NULL, NULL)) AS t(id, lang, code, valid)")
 def _(t):
     return syntax_valid(t.values("(VALUES (1, 'python', 'x = 1'), (2, 'python', 'def f(:'), (3, 'c', 'int x;'), (4, 'python', NULL)) AS t(id, lang, code)"))
 
