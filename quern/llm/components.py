@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round hangs every neighbour on the smallest node seen, so the number
     of rounds grows with the logarithm of the component, and a hub is only ever
-    aggregated and joined on its key.  Self loops, null ends and repeated edges
+    aggregated and joined on its key.  Nothing is broadcast: a driver need not
+    hold a table that grows with the edges.  Self loops, null ends and repeated edges
     are ignored; no edges give no rows.
     """
     shared_root(edges.sparkSession)
@@ -23,9 +24,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("m"))
-        large = both.join(low, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(near.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(near.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         new = _state(e)
         if new == state:

@@ -80,7 +80,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a, b) star edges between the fingerprints of column fp that differ in one or two bits; their components are those of all such pairs."""
     in_cells = distinct.select("fp", F.explode(_cells()).alias("c")).select("fp", "c.cell", "c.step")
     shared = in_cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("cell")
-    found = in_cells.join(shared, "cell")
+    found = in_cells.join(shared.hint("merge"), "cell")
     at = "4 * (abs(step) - 1) + j"
     words = F.expr(f"""CASE WHEN step = 0 THEN array(fp) ELSE
         transform(filter(sequence(0, 3), j -> (shiftrightunsigned(fp, {at}) & 1L) = IF(step > 0, 0L, 1L)), j -> fp ^ shiftleft(1L, {at})) END""")
@@ -94,14 +94,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with the same fingerprint are linked.  Null ids have a row like any
     other but never name a component unless all of its ids are null; repeated
     rows each have one; an empty table gives no rows.  Other columns are ignored.
+    Joins are by sorted runs, never by a table that the driver collects.
     """
     prints = materialise(fingerprints(df, id_col, text_col, shingle, seed), "prints")
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     roots = connected_components(links(classes.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
-    grouped = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = classes.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = grouped.join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("id", "fp", "component_id")
+    labels = grouped.join(named.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(labels.hint("merge"), "fp").select("id", "fp", "component_id")
 
 
 #: Classes whose shingles are to be compared, and rows that stay, are broadcast up to so many.

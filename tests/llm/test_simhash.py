@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quern.llm import simhash
 from quern.llm.components import connected_components
@@ -88,6 +89,20 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_nothing_that_grows_with_the_table_is_broadcast(spark, monkeypatch):
+    plans, plain = [], DataFrame.checkpoint
+
+    def spied(self, *a, **b):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *a, **b)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", spied)
+    found = simhash.near_duplicates(frame(spark), shingle=3)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_near_copies_of_the_stage(spark):
     import random
 
