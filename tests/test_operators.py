@@ -4,8 +4,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quern.functions import text as X
-from quern.operators import dedup, sequences, splits
+from quern.operators import dedup, search, sequences, splits
 from quern.sources import sinks
 
 
@@ -78,3 +79,12 @@ def test_versions_roll_back_and_ids_are_not_overwritten(spark, tmp_path):
         raise AssertionError("an experiment was overwritten")
     except Exception as e:
         assert "PATH_ALREADY_EXISTS" in str(e)
+
+
+def test_ties_are_counted_among_all_documents(spark, tmp_path):
+    n = 100_300
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("the data of a model").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["search_tiebreak"](spark, str(tmp_path)).collect()
+    assert got and {(r.first, r.n) for r in got} == {(0, n)}
+    best = search.bm25(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([(1, "data")], "query_id int, query string"), 3)
+    assert sorted((r.doc_id, r.rank) for r in best.collect()) == [(0, 1), (1, 2), (2, 3)]
