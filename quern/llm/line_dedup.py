@@ -29,16 +29,18 @@ from ._common import fresh, load, materialise, slices
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 CHUNK = 1 << 14
-BYTES_PER_BUCKET = 8 << 20
+BYTES_PER_BUCKET = 4 << 20
 #: Bits of the filter that tells sets with candidates from others; a full filter costs time only.
 FILTER_BITS = 1 << 27
 BLOCK = 1024
 #: Words of more rows than so many blocks are not filtered but verified at once.
 FILTERED = 16
 #: Rows that are verified in one task's go; the rows of a word stay together.
-ROWS_PER_BUCKET = 20_000
-PAIRS = 4_000_000
+ROWS_PER_BUCKET = 10_000
+PAIRS = 1_000_000
 LAST = (1 << 63) - 1
+#: Bytes of text whose words a worker holds as arrays at once: some twenty numbers for each word.
+SLICE = 4 << 20
 
 
 def line_words(text: bytes | None) -> list[list[bytes]]:
@@ -108,7 +110,7 @@ def _lines(batches):
     """A row for each line, and one for each chunk of the task's counters: in how many lines the words of each occur."""
     total = np.zeros(COUNTERS, np.int64)
     nulls = lambda n, kind: pa.nulls(n, kind)
-    for b in slices(batches):
+    for b in slices(batches, size=SLICE):
         sets = Sets(b.column(0), None)
         total += np.bincount((sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         n = len(sets.doc)
@@ -138,7 +140,7 @@ def _post(counts, n_buckets: int, t: float):
     """The prefixes of the batch's different sets, packed by bucket of the word; words counted once have no second line."""
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             sets = Sets(b.column(0), counts.value)
             _, own = np.unique(sets.sig, return_index=True)
             own = own[sets.size[own] > 0]
@@ -230,7 +232,7 @@ def _contents(counts, wanted):
 
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             ids = b.column(1).to_numpy()
             sets = Sets(b.column(0), counts.value)
             order = np.lexsort((sets.number, ids[sets.doc], sets.sig))
