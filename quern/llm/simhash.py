@@ -242,11 +242,25 @@ def _exact(num: int, den: int):
     return run
 
 
+def grid_pairs(texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b, of classes (cls, text) whose fingerprints are equal or linked by the grid; those of one fingerprint meet its smallest class."""
+    prints = scratch.table(fingerprints(texts, "cls", "text", shingle).distinct(), "prints")
+    firsts = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
+    end = lambda n: firsts.select(F.col("fp").alias(n), F.col("first").alias(f"first_{n}"))
+    linked = links(firsts.select("fp")).join(end("a").hint("merge"), "a").join(end("b").hint("merge"), "b").select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
+    equal = prints.join(firsts.hint("merge"), "fp").where("id != first").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    return scratch.table(linked.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near")
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, cls, component_id, root) for every row: the smallest id among the rows reachable over pairs of the given similarity of shingles or more.
 
     The similarity is the exact Jaccard index of the sets of 64-bit shingle
-    hashes.  Two sets that have it share a shingle of their prefixes, whatever
+    hashes.  The operator's fingerprints meet first, in the cells of its grid,
+    and those within two bits are linked if their sets have the similarity.
+    At 0.8 fingerprints differ in ten bits or so, which no grid of one step
+    holds, so what the grid has left apart, and that alone, is compared by
+    prefixes.  Two sets of the similarity share a shingle of theirs, whatever
     the order is, so every such pair meets: common shingles come last, the others
     in the order of their hashes.  Those that meet are told apart by their sizes
     and wide fingerprints, and what is left by the sets themselves.  Where sets
@@ -313,10 +327,17 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("own.cls", "end.cls").alias("a"), F.greatest("own.cls", "end.cls").alias("b")).distinct()
 
+    def apart_only(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose ends aren't in one component yet."""
+        for end in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("cls").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+    def starred(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
     def link(pairs: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The edges among the pairs, those of before added, and the components' roots."""
-        if before is None:
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         own_scratch = Scratch(spark)
         pairs = own_scratch.table(pairs, "pairs")
         asked = own_scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
@@ -334,8 +355,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranged = named.withColumns({"x": F.min("root").over(of_key), "y": F.max("root").over(of_key)}).where("x != y")
         return scratch.table(ranged.select("key", "at", "own", "root").distinct(), "open")
 
+    edges, roots = link(grid_pairs(texts, shingle, scratch))
     may = _may_link("own", "end", num, den, bits)
-    edges, roots = link(ordered(members.select("own", F.explode(F.array("lo", "hi")).alias("end")).where(may)))
+    met = ordered(members.select("own", F.explode(F.array("lo", "hi")).alias("end")).where(may))
+    edges, roots = link(starred(apart_only(met, roots)), edges)
     left = open_members(roots)
     if not left.isEmpty():
         asked = scratch.table(left.select(F.col("own.cls").alias("cls")).distinct(), "open-classes")

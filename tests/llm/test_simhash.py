@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from quern.llm import simhash
@@ -188,3 +189,25 @@ def test_each_row_is_decided_by_its_own_text(spark):
     rows = [(None, alone[0]), (None, alone[1]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (1, "the shared text of three rows"), (7, "the shared text of three rows"), (None, "the shared text of three rows")]
     kept = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(frame(spark, rows)).collect()), key=str)
     assert kept == sorted([(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (1, rows[5][1])], key=str)
+
+
+def test_the_stage_takes_its_first_links_from_the_grid(spark, monkeypatch):
+    import random
+
+    rng, rows, asked, plain = random.Random(5), [], [], simhash.links
+    for k in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(k, " ".join(base)), (100 + k, " ".join([*base, "end"])), (200 + k, " ".join(edited(base, 7, rng)))]
+    # the same counts of few shingles: equal fingerprints of sets that have little in common
+    rows += [(300, " ".join(["p q r s t"] * 60)), (301, " ".join(["p q r s t"] * 60) + " " + " ".join(f"v{k}" for k in range(40)))]
+    monkeypatch.setattr(simhash, "links", lambda prints: asked.append({r.fp for r in prints.collect()}) or plain(prints))
+    monkeypatch.setattr(simhash, "_may_link", lambda *a: F.lit(False))
+    alone = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert asked == [{plain_fingerprint(t, 5) for _, t in rows}]
+    bits = lambda i, j: ((plain_fingerprint(dict(rows)[i], 5) ^ plain_fingerprint(dict(rows)[j], 5)) & (2**64 - 1)).bit_count()
+    near = [k for k in range(12) if bits(k, 100 + k) <= 2]
+    assert len(near) > 8 and all(alone[100 + k] == k for k in near)
+    assert bits(300, 301) <= 2 and alone[301] == 301  # the exact check follows
+    monkeypatch.undo()
+    whole = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert all(whole[i] == i % 100 for i, _ in rows[:36]) and whole[301] == 301
