@@ -33,6 +33,8 @@ BYTES_PER_BUCKET = 4 << 20
 #: Bits of the filter that tells sets with candidates from others; a full filter costs time only.
 FILTER_BITS = 1 << 27
 BLOCK = 1024
+#: Sets of more words have sketches of 128 bits, the others of 64: those of large sets may differ in so many that 64 tell few apart.
+WIDE = 64
 #: Words of more rows than so many blocks are not filtered but verified at once.
 FILTERED = 16
 #: Rows that are verified in one task's go; the rows of a word stay together.
@@ -91,11 +93,24 @@ class Sets:
         total = np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])
         return total[self.end] - total[self.end - self.size]
 
-    def sketches(self) -> np.ndarray:
-        """64 bits for each line: a word flips one of them, so that two lines' sketches differ in at most as many bits as their sets differ in words."""
-        bit = np.uint64(1) << (self.mixed >> np.uint64(58))
-        total = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bit)]) if len(bit) else np.zeros(1, np.uint64)
-        return total[self.end] ^ total[self.end - self.size]
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each line, as the halves' sum and the second half: a word flips one of them, so that two lines' sketches differ in at most as many bits as their sets differ in words."""
+        found = []
+        for bit in _flips(self.mixed):
+            total = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bit)]) if len(bit) else np.zeros(1, np.uint64)
+            found.append(total[self.end] ^ total[self.end - self.size])
+        return found[0], found[1]
+
+
+def _flips(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bit that each word flips in the halves' sum, and in the second half if it is there."""
+    bit = np.uint64(1) << (mixed >> np.uint64(58))
+    return bit, bit * ((mixed >> np.uint64(57)) & np.uint64(1))
+
+
+def _apart(both: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The differing bits of two sketches, from the differences of the halves' sum and of the second half; of the sum alone where that is 0."""
+    return np.bitwise_count(both ^ second) + np.bitwise_count(second)
 
 
 def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
@@ -144,7 +159,8 @@ def _post(counts, n_buckets: int, t: float):
             sets = Sets(b.column(0), counts.value)
             _, own = np.unique(sets.sig, return_index=True)
             own = own[sets.size[own] > 0]
-            n, sketch = sets.size[own], sets.sketches()[own]
+            n, (sketch, second) = sets.size[own], (x[own] for x in sets.sketches())
+            kind, wide = "<u2" if n.max(initial=0) < 1 << 16 else "<u4", n > WIDE
             take = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
             row = np.repeat(np.arange(len(own)), take)
             place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
@@ -158,7 +174,11 @@ def _post(counts, n_buckets: int, t: float):
             row, place, word, bucket, before = row[order], place[order], word[order], bucket[order], before[order]
             cut = np.nonzero(np.diff(bucket))[0] + 1
             bounds = list(zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]]), strict=True)) if len(bucket) else []
-            body = [word[i:j].tobytes() + sets.sig[own][row[i:j]].tobytes() + sketch[row[i:j]].tobytes() + before[i:j].tobytes() + n[row[i:j]].astype("<u4").tobytes() + place[i:j].astype("<u4").tobytes() for i, j in bounds]
+            sig, body = sets.sig[own], []
+            for i, j in bounds:
+                at = row[i:j]
+                columns = (word[i:j], sig[at], sketch[at], before[i:j], second[at[wide[at]]], n[at].astype(kind), place[i:j].astype(kind), np.array([j - i, int(kind[2])], "<u4"))
+                body.append(b"".join(c.tobytes() for c in columns))
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in bounds], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
 
     return run
@@ -168,16 +188,20 @@ def _candidates(t: float):
     def run(table):
         parts = []
         for body in table.column("body").to_pylist():
-            m = len(body) // 40
+            m, size = np.frombuffer(body, "<u4", 2, len(body) - 8).tolist()
             longs = (np.frombuffer(body, t, m, 8 * k * m) for k, t in enumerate(("<u8", "<i8", "<u8", "<u8")))
-            parts.append((*longs, *(np.frombuffer(body, "<u4", m, at * m).astype(np.int64) for at in (32, 36))))
+            ends = len(body) - 8 - 2 * size * m
+            n, place = (np.frombuffer(body, f"<u{size}", m, ends + k * size * m).astype(np.int64) for k in range(2))
+            second = np.zeros(m, np.uint64)
+            second[n > WIDE] = np.frombuffer(body, "<u8", (ends - 32 * m) // 8, 32 * m)
+            parts.append((*longs, n, place, second))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         order = np.lexsort((columns[1], columns[4], columns[0]))
-        word, sig, sketch, before, n, place = (x[order] for x in columns)
+        word, sig = columns[0][order], columns[1][order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])
-        word, sig, sketch, before, n, place = (x[new] for x in (word, sig, sketch, before, n, place))
-        hit = with_partner(word, sketch, before, n, place, t)
+        word, sig, sketch, before, n, place, second = (x[order[new]] for x in columns)
+        hit = with_partner(word, sketch, second, before, n, place, t)
         return pa.table({"word": pa.array(word[hit].view(np.int64)), "sig": pa.array(sig[hit])})
 
     return run
@@ -208,7 +232,7 @@ def windows(word: np.ndarray, n: np.ndarray, t: float, at_most: int | None = Non
         at = end
 
 
-def with_partner(word: np.ndarray, sketch: np.ndarray, before: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
+def with_partner(word: np.ndarray, sketch: np.ndarray, second: np.ndarray, before: np.ndarray, n: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
     """Which rows, sorted by word and size, have a row of the same word that passes the length and positional filters with them, and whose sketch is near enough.
 
     Rows that share the word before, too, meet in the group of an earlier word, so they don't count here.
@@ -217,8 +241,8 @@ def with_partner(word: np.ndarray, sketch: np.ndarray, before: np.ndarray, n: np
     size = np.diff(np.concatenate([start, [len(word)]]))
     hit = np.repeat(size > FILTERED * BLOCK, size)  # very large groups go on whole: verification is the exact way for them
     for left, right in windows(word, n, t, FILTERED * BLOCK):
-        apart = np.bitwise_count(sketch[left] ^ sketch[right])
         a, b = n[left], n[right]
+        apart = _apart(sketch[left] ^ sketch[right], np.where(a > WIDE, second[left] ^ second[right], np.uint64(0)))
         need = _needed(a, b, t)
         ok = (apart <= a + b - 2 * need) & (np.minimum(a - place[left], b - place[right]) >= need)
         ok &= (before[left] != before[right]) | (before[left] == 0)
@@ -288,11 +312,11 @@ def small_groups(sets: list[np.ndarray], word: np.ndarray, n: np.ndarray, rank:
     key = row * span + code
     order = np.argsort(key)
     key, place_of = key[order], place[order]
-    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(words) >> np.uint64(58)), np.cumsum(n) - n) if len(words) else np.zeros(len(sets), np.uint64)
+    sketch, second = (np.bitwise_xor.reduceat(bit, np.cumsum(n) - n) if len(words) else np.zeros(len(sets), np.uint64) for bit in _flips(_mix(words)))
     begin = np.cumsum(n) - n
     for left, right in windows(word, n, t, BLOCK):
         need = _needed(n[left], n[right], t)
-        near = np.bitwise_count(sketch[left] ^ sketch[right]) <= n[left] + n[right] - 2 * need
+        near = _apart(sketch[left] ^ sketch[right], second[left] ^ second[right]) <= n[left] + n[right] - 2 * need
         left, right, need = left[near], right[near], need[near]
         cuts = [*range(0, len(left), 20_000), len(left)]
         for i, j in zip(cuts, cuts[1:], strict=False):

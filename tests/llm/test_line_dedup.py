@@ -1,4 +1,7 @@
+import types
+
 import numpy as np
+import pyarrow as pa
 
 from quern.llm import line_dedup
 from tests.llm.helpers import frame, rows_of
@@ -74,3 +77,18 @@ def test_texts_lose_their_later_matches(spark):
 
 def test_empty_table(spark):
     assert line_dedup.matched_lines(frame(spark, [])).count() == 0
+
+
+def test_long_lines_that_only_meet_are_no_candidates():
+    rng = np.random.default_rng(4)
+    lines = [rng.choice(400, 150, replace=False).tolist() for _ in range(200)]
+    lines += [[*x[:140], *range(1000 + 10 * k, 1010 + 10 * k)] for k, x in enumerate(lines[:20])]
+    lines += [[*x[:140], *range(2000, 2014 + k)] for k, x in enumerate(lines[20:40])]
+    lines += [[*range(3000 + 70 * k, 3055 + 70 * k), *(range(9000, 9009 + i))] for k in range(3) for i in range(3)]  # on both sides of WIDE
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{k}" for k in x) for x in lines])], names=["text"])
+    counts = types.SimpleNamespace(value=np.full(line_dedup.COUNTERS, 2))
+    posts = pa.Table.from_batches(line_dedup._post(counts, 1, 0.8)([batch]))
+    found = set(line_dedup._candidates(0.8)(posts).column("sig").to_pylist())
+    sets, sig = [set(x) for x in lines], line_dedup.Sets(batch.column(0), None).sig.tolist()
+    alike = {sig[i] for i, x in enumerate(sets) if any(y is not x and 5 * len(x & y) >= 4 * len(x | y) for y in sets)}
+    assert len(alike) > 70 and alike <= found and len(found) <= len(alike) + 20  # pairs just below the threshold among them
