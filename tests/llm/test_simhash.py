@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from quern.llm import simhash
+from quern.llm import components, simhash
 from quern.llm.components import connected_components
 from tests.llm.helpers import frame, rows_of
 
@@ -86,6 +86,32 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 300: 100}
 
 
+@pytest.mark.parametrize("block", [1, 50, 400, 1 << 19])
+def test_components_of_any_block(spark, monkeypatch, block):
+    import random
+
+    rng = random.Random(9)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)]
+    pairs += [(1000 + k, 5000 - k) for k in range(60)] + [(5000 - k, 1001 + k) for k in range(60)]  # a path of alternating small and large nodes
+    pairs += [(9000, 9000 - k) for k in range(1, 80)]  # a hub above all that hang on it
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(components, "BLOCK", block)
+    got = connected_components(spark.createDataFrame([*pairs, (None, 1), (2, None)], "a long, b long"), "a", "b").collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == root
+
+
+def test_edges_of_a_block_take_no_rounds(spark, monkeypatch):
+    stored, plain = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **b: stored.append(plain(self, *a, **b)) or stored[-1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+    assert {r.root for r in connected_components(edges, "a", "b").collect()} == {0}
+    assert len(stored) == 2 and stored[1].rdd.getNumPartitions() == 1
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
