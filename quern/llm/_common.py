@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that no plan holds any longer removed: Spark does so when the driver's garbage is collected, which few tasks may not bring about."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables in the shared folder that go when what they were made for is stored."""
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, Scratch, broadcast_if, fresh, materialise, slices
+from ._common import SPACE, Scratch, broadcast_if, drop_shuffles, fresh, materialise, slices
 from .components import connected_components
 
 SEGMENTS, WIDTH = 16, 4
@@ -323,6 +323,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     emitted = texts.select("cls", "text").mapInArrow(keys, "key long, at int, cls long, n long, f0 long, f1 long").select("key", "at", own.alias("own"))
     ends = emitted.withColumns({"lo": F.min("own").over(of_key), "hi": F.max("own").over(of_key)}).where("lo.cls != hi.cls")
     members = scratch.table(ends, "members")
+    drop_shuffles(spark)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("own.cls", "end.cls").alias("a"), F.greatest("own.cls", "end.cls").alias("b")).distinct()
@@ -340,12 +341,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """The edges among the pairs, those of before added, and the components' roots."""
         own_scratch = Scratch(spark)
         pairs = own_scratch.table(pairs, "pairs")
+        drop_shuffles(spark)
         asked = own_scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "asked")
         sets = own_scratch.table(of_classes(asked).mapInArrow(sets_of, "cls long, hashes binary").dropDuplicates(["cls"]), "sets")
         side = lambda n: sets.select(F.col("cls").alias(n), F.col("hashes").alias(f"hashes_{n}"))
         new = side("a").join(broadcast_if(pairs, pairs.count(), BROADCAST_ROWS), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_exact(num, den), "a long, b long")
         edges = scratch.table(new if before is None else before.unionByName(new), "edges")
         own_scratch.clear()
+        drop_shuffles(spark)
         roots = connected_components(edges, "a", "b").select(F.col("node").alias("cls"), "root")
         return edges, scratch.table(roots, "roots")
 
@@ -353,7 +356,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """The members of the keys that still hold several components, each once."""
         named = members.select("key", "at", "own", F.col("own.cls").alias("cls")).join(roots, "cls", "left").select("key", "at", "own", F.coalesce("root", "cls").alias("root"))
         ranged = named.withColumns({"x": F.min("root").over(of_key), "y": F.max("root").over(of_key)}).where("x != y")
-        return scratch.table(ranged.select("key", "at", "own", "root").distinct(), "open")
+        found = scratch.table(ranged.select("key", "at", "own", "root").distinct(), "open")
+        drop_shuffles(spark)
+        return found
 
     edges, roots = link(grid_pairs(texts, shingle, scratch))
     may = _may_link("own", "end", num, den, bits)
@@ -368,7 +373,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         before = F.expr(f"slice(prefix, greatest(1, at + 1 - {BEFORE}), least(at, {BEFORE}))")
 
         def sketched(rows: DataFrame) -> DataFrame:
-            return scratch.table(rows.withColumn("cls", F.col("own.cls")).join(sketches, "cls").select("key", "own", "root", "parity", before.alias("before")), "sketched")
+            found = scratch.table(rows.withColumn("cls", F.col("own.cls")).join(sketches, "cls").select("key", "own", "root", "parity", before.alias("before")), "sketched")
+            drop_shuffles(spark)
+            return found
 
         for turn in range(DRAWS):
             now = sketched(left)

@@ -112,6 +112,15 @@ def test_edges_of_a_block_take_no_rounds(spark, monkeypatch):
     assert len(stored) == 2 and stored[1].rdd.getNumPartitions() == 1
 
 
+def test_the_stage_drops_shuffles_before_each_search(spark, monkeypatch):
+    calls, plain = [], connected_components
+    monkeypatch.setattr(simhash, "drop_shuffles", lambda s: calls.append("drop"))
+    monkeypatch.setattr(simhash, "connected_components", lambda *a: calls.append("components") or plain(*a))
+    simhash.similar_groups(frame(spark, [(1, "a b c d e f g"), (2, "A b c d e f g")]))
+    at = [k for k, c in enumerate(calls) if c == "components"]
+    assert at and calls[0] == "drop" and all(calls[k - 1] == "drop" for k in at)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
